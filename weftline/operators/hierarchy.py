@@ -93,8 +93,7 @@ def hierarchy(links: DataFrame, paths: bool = False, peel_rounds: int = PEEL_ROU
     size to its parent, until only the trunk is left; the peeled levels are then
     put back in reverse order, each node taking root, depth and path from its
     parent. For keys on a loop or below one depth is -1, root the smallest key
-    on the loop, path null; n_descendants is null on loops and counts as usual
-    below them where the node was peeled, else null. Empty links give no rows."""
+    on the loop, path and n_descendants null. Empty links give no rows."""
     base = cut(links.select("node", "parent"), "links")
     hot = hot_keys(base, "parent")
     rest, levels, marks, gone = base.withColumn("below", F.lit(0).cast("long")), [], [], None
@@ -139,7 +138,7 @@ def hierarchy(links: DataFrame, paths: bool = False, peel_rounds: int = PEEL_ROU
     under = got.where("depth > 0").groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("_c"))
     tops = parts[0].where("depth = 0").join(under, F.col("node") == F.col("_r"), "left").withColumn("below", F.coalesce("_c", F.lit(0))).drop("_r", "_c")
     out = all_of([tops, parts[0].where("depth <> 0"), *parts[1:]])
-    return out.select("node", "root", "depth", F.col("below").alias("n_descendants"), *extra)
+    return out.select("node", "root", "depth", F.when(F.col("depth") >= 0, F.col("below")).alias("n_descendants"), *extra)
 
 
 def descendants(h: DataFrame) -> DataFrame:
