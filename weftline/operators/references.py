@@ -22,44 +22,45 @@ def target_states(target: DataFrame, keys: Sequence[str], seen_at: str | None =
     return t.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(seen.alias("_seen"), alive.alias("_alive"))
 
 
-def orphans(refs: DataFrame, ref_keys: Sequence[str], target: DataFrame, keys: Sequence[str], at: str | None = None, seen_at: str | None = None, deleted_at: str | None = None, match: str = "simple") -> DataFrame:
-    """Rows of refs whose reference has no valid target, with a `status` column:
-    'missing' (no target row has the key), 'deleted' (all of them are deleted),
-    'late' (one is alive, but the first was seen only after refs.at).
+def check(refs: DataFrame, ref_keys: Sequence[str], target: DataFrame, keys: Sequence[str], seen_at: str | None = None, deleted_at: str | None = None, match: str = "simple") -> DataFrame:
+    """Every row of refs with `ref_state` ('missing': no target row has the key;
+    'deleted': all that have it are deleted; 'alive'; null: no reference) and
+    `first_seen` of the target.
 
     References are grouped by null mask - which of ref_keys are null - and each
     mask is checked on its non-null columns only. match declares what a partly
     null key means, as in SQL: 'simple' takes it as no reference, 'full' as
     'missing', 'partial' as a reference to any target that agrees on the
-    non-null columns. An all-null key is never a reference. Equal references are
-    checked once (the caller's rows are joined back to the few distinct bad
-    keys), and hot keys are not shuffled."""
+    non-null columns. An all-null key is never a reference. Repeated rows of
+    refs stay repeated; target rows collapse to one per key before the join, and
+    rows of a hot key are not shuffled."""
     if match not in ("simple", "full", "partial"):
         raise ValueError("match is simple, full or partial")
     if len(ref_keys) != len(keys) or not keys:
         raise ValueError("both sides need the same number of key columns")
-    full = target_states(target, keys, seen_at, deleted_at) if len(keys) == 1 or match != "partial" else None
+    full: DataFrame | None = None
     out: DataFrame | None = None
     for mask in product((True, False), repeat=len(keys)):
         used = [i for i, on in enumerate(mask) if on]
-        if not used or (match == "simple" and len(used) < len(keys)):
-            continue
         part = refs
         for k, on in zip(ref_keys, mask):
             part = part.where(F.col(k).isNotNull() if on else F.col(k).isNull())
-        if match == "full" and len(used) < len(keys):
-            got = part.withColumn("status", F.lit("missing"))
+        if not used or len(used) < len(keys) and match != "partial":
+            state = F.lit("missing" if used and match == "full" else None).cast("string")
+            got = part.withColumns({"ref_state": state, "first_seen": F.lit(None).cast("timestamp")})
         else:
-            states = full if full is not None else target_states(target, [keys[i] for i in used], seen_at, deleted_at)
-            got = _check(part, [ref_keys[i] for i in used], states, at)
+            if len(used) == len(keys):
+                full = full if full is not None else target_states(target, keys, seen_at, deleted_at)
+                states = full
+            else:
+                states = target_states(target, [keys[i] for i in used], seen_at, deleted_at)
+            got = _join(part, [ref_keys[i] for i in used], states)
         out = got if out is None else out.unionByName(got)
     assert out is not None
     return out
 
 
-def _check(part: DataFrame, cols: list[str], states: DataFrame, at: str | None) -> DataFrame:
-    late = (F.col("_seen") > F.col(at)) if at else F.lit(False)
-    status = F.when(F.col("_alive").isNull(), "missing").when(~F.col("_alive"), "deleted").when(late, "late")
+def _join(part: DataFrame, cols: list[str], states: DataFrame) -> DataFrame:
     if len(cols) == 1:
         j = lookup_join(part, states, cols[0], "_k0", hot_keys(part, cols[0]))
     else:
@@ -67,5 +68,15 @@ def _check(part: DataFrame, cols: list[str], states: DataFrame, at: str | None)
         for i, c in enumerate(cols):
             cond = cond & (F.col(c) == F.col(f"_k{i}"))
         j = part.join(states, cond, "left")
-    j = j.withColumn("status", status).where(F.col("status").isNotNull())
-    return j.drop("_seen", "_alive", *[f"_k{i}" for i in range(len(cols))])
+    state = F.when(F.col("_alive").isNull(), "missing").when(~F.col("_alive"), "deleted").otherwise("alive")
+    return j.withColumns({"ref_state": state, "first_seen": F.col("_seen").cast("timestamp")}).drop("_seen", "_alive", *[f"_k{i}" for i in range(len(cols))])
+
+
+def orphans(refs: DataFrame, ref_keys: Sequence[str], target: DataFrame, keys: Sequence[str], at: str | None = None, seen_at: str | None = None, deleted_at: str | None = None, match: str = "simple") -> DataFrame:
+    """Rows of refs whose reference has no valid target, with a `status` column:
+    'missing', 'deleted' (see check), or 'late': the target is alive, but its
+    first row was seen only after refs.at."""
+    c = check(refs, ref_keys, target, keys, seen_at, deleted_at, match)
+    late = (F.col("first_seen") > F.col(at)) if at else F.lit(False)
+    status = F.when(F.col("ref_state") != "alive", F.col("ref_state")).when((F.col("ref_state") == "alive") & late, "late")
+    return c.withColumn("status", status).where(F.col("status").isNotNull()).drop("ref_state", "first_seen")

@@ -77,28 +77,24 @@ def p4_pending(spark: SparkSession, d: str) -> DataFrame:
     return p.select("path", "sha", F.col("seen_at").alias("indexed_at"), "reason")
 
 
-def _edge_refs(spark: SparkSession, d: str) -> DataFrame:
-    """(src_key, dst_key, query_id, t): t is the edge's smallest time."""
-    e = table(spark, d, "column_lineage").select("src_key", "dst_key", "query_id", "indexed_at").where(F.col("src_key").isNotNull() & F.col("dst_key").isNotNull())
-    # repeated pairs collapse before the shuffle
-    return e.groupBy("src_key", "dst_key", "query_id").agg(F.min("indexed_at").alias("t"))
-
-
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    refs = cut(_edge_refs(spark, d), "refs")
-    edges = cut(refs.groupBy("src_key", "dst_key").agg(F.min("t").alias("t")), "edges")
-    cols = table(spark, d, "sql_column").select("id", "indexed_at", "deleted_at")
-    to_col = R.orphans(edges, ["src_key"], cols, ["id"], "t", "indexed_at", "deleted_at")
-    # an edge's time is needed beside each of its query ids
-    named = refs.where(F.col("query_id").isNotNull() & (F.col("query_id") != "")).select("src_key", "dst_key", "query_id")
-    e2 = edges.select(F.col("src_key").alias("_s"), F.col("dst_key").alias("_d"), "t")
-    named = named.join(e2, (F.col("src_key") == F.col("_s")) & (F.col("dst_key") == F.col("_d"))).select("src_key", "dst_key", "query_id", "t")
-    qs = table(spark, d, "sql_query").select("id", "indexed_at", "deleted_at")
-    to_q = R.orphans(named, ["query_id"], qs, ["id"], "t", "indexed_at", "deleted_at")
+    e = table(spark, d, "column_lineage").select("src_key", "dst_key", F.when(F.col("query_id") != "", F.col("query_id")).alias("query_id"), "indexed_at")
+    e = e.where(F.col("src_key").isNotNull() & F.col("dst_key").isNotNull())
+    # what stands behind query_id is looked up row by row; then one aggregation
+    # gives an edge's time and the states of all its query ids
+    q = R.check(e, ["query_id"], table(spark, d, "sql_query").select("id", "indexed_at", "deleted_at"), ["id"], "indexed_at", "deleted_at")
+    has = lambda s: F.max(F.coalesce(F.col("ref_state") == s, F.lit(False)))
+    edges = q.groupBy("src_key", "dst_key").agg(
+        F.min("indexed_at").alias("t"), has("missing").alias("q_missing"), has("deleted").alias("q_deleted"), F.max(F.when(F.col("ref_state") == "alive", F.col("first_seen"))).alias("q_seen")
+    )
+    edges = cut(edges, "edges")
     period = F.date_format("t", "yyyy-MM").alias("period")
-    a = to_col.select(F.lit("sql_column").alias("ref_table"), period, "src_key", "dst_key", "status")
-    b = to_q.select(F.lit("sql_query").alias("ref_table"), period, "src_key", "dst_key", "status").distinct()
-    return a.unionByName(b)
+    late = F.col("q_seen") > F.col("t")
+    found = F.filter(F.array(F.when(F.col("q_missing"), "missing"), F.when(F.col("q_deleted"), "deleted"), F.when(late, "late")), lambda x: x.isNotNull())
+    to_q = edges.select(F.lit("sql_query").alias("ref_table"), period, "src_key", "dst_key", F.explode(found).alias("status"))
+    cols = table(spark, d, "sql_column").select("id", "indexed_at", "deleted_at")
+    to_col = R.orphans(edges.select("src_key", "dst_key", "t"), ["src_key"], cols, ["id"], "t", "indexed_at", "deleted_at")
+    return to_col.select(F.lit("sql_column").alias("ref_table"), period, "src_key", "dst_key", "status").unionByName(to_q)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
