@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, leakage
+from . import canon, leakage, residue
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,24 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max(F.col("covered") / F.col("item_words")).alias("most_covered"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statements, p7_found, p7_coverage, p7_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    r = residue.residue_records(table(spark, d, "documents"))
+    return r.where(F.col("kind").isNotNull()).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_records(table(spark, d, "documents"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus without residue, as document ids with what describes them."""
+    docs = table(spark, d, "documents")
+    bad = residue.residue_records(docs).where(F.col("kind").isNotNull()).select(F.col("doc_id").alias("_d")).distinct()
+    kept = docs.select("doc_id", "lang", "source", "n_chars", "repo_path")
+    return kept.join(bad, F.col("doc_id") == F.col("_d"), "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_statements, p7_found, p7_coverage, p7_items, p9_found, p9_scores, p9_clean)}
 
 _WINDOWS = """
 WITH w AS (SELECT doc_id AS k, [lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9_]+')] AS v FROM documents),
