@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import canon, leakage, residue
+from ..session import cut, table
+from . import canon, leakage, mixture, residue, syntax
+
+#: The vocabulary file by which documents are sized.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +28,59 @@ def _none(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _current_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Current version of each path with its content."""
+    f = table(spark, d, "src_file").where(F.col("path").isNotNull() & F.col("sha").isNotNull() & F.col("indexed_at").isNotNull())
+    top = f.groupBy("path").agg(F.max(F.struct("indexed_at", "sha", "repo_path", "dialect", "parse_failed", "parse_cause")).alias("v"))
+    cur = top.select(F.col("path").alias("_p"), F.col("v.sha").alias("_s"), F.col("v.repo_path").alias("repo_path"), F.col("v.dialect").alias("dialect"), F.col("v.parse_failed").alias("claimed"), F.col("v.parse_cause").alias("claimed_cause"))
+    t = table(spark, d, "file_text").select("path", "sha", "content")
+    j = t.join(cur, (F.col("path") == F.col("_p")) & (F.col("sha") == F.col("_s")))
+    return j.select("path", "repo_path", "dialect", "claimed", "claimed_cause", "content")
+
+
+_PARSED = "path string, repo_path string, dialect string, claimed boolean, claimed_cause string, cost int, n_statements int, n_bad int, kind string, parsed_as string"
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose cheapest repair has a cost; the cost itself is p5_repairs'."""
+    t = _current_texts(spark, d).select("path", "dialect", "content")
+    got = t.mapInPandas(syntax.parse_batches(False), "path string, dialect string, cost int, n_statements int, n_bad int, kind string, parsed_as string")
+    return got.where("cost > 0").select("path").distinct()
+
+
+def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
+    got = _current_texts(spark, d).mapInPandas(syntax.parse_batches(True), _PARSED)
+    return got.where("cost > 0").select("path", "repo_path", "dialect", "parsed_as", "cost", "n_statements", "n_bad", "kind").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per repository and dialect: files, flagged files by kind, their rate, and
+    what parse_failed claims beside it."""
+    got = _current_texts(spark, d).mapInPandas(syntax.parse_batches(True), _PARSED).dropDuplicates(["path"])
+    bad = F.col("cost") > 0
+    n = lambda c: F.count(F.when(c, F.lit(1)))
+    return got.groupBy("repo_path", "dialect").agg(
+        F.count(F.lit(1)).alias("n_files"), n(bad).alias("n_flagged"), (n(bad) / F.count(F.lit(1))).alias("rate"),
+        *[n(F.col("kind") == k).alias(f"n_{k}") for k in ("truncated", "conflict", "language", "syntax")],
+        n(F.col("claimed")).alias("n_claimed"), n(F.col("claimed") & bad).alias("n_claimed_and_flagged"), n(F.coalesce(F.col("claimed_cause"), F.lit("")) != "").alias("n_with_cause"),
+    )
+
+
+def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
+    # the topic of a document is the warehouse layer it names first
+    topic = F.regexp_extract("text", r"\b(raw|stg|core|dwh|mart|rpt)\.", 1)
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", topic.alias("topic"), "text")
+    return mixture.Mixture(cut(mixture.token_counts(docs, TOKENIZER), "sizes"), table(spark, d, "mix_target"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).sample()
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     got = leakage.tile_matches(table(spark, d, "documents"), table(spark, d, "eval_item"))
     return _none(spark, "doc_id long, item_id long") if got is None else got.select("doc_id", "item_id").distinct()
@@ -66,7 +122,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(bad, F.col("doc_id") == F.col("_d"), "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statements, p7_found, p7_coverage, p7_items, p9_found, p9_scores, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statements, p5_found, p5_repairs, p5_rates, p8_mixture, p8_shares, p7_found, p7_coverage, p7_items, p9_found, p9_scores, p9_clean)}
 
 _WINDOWS = """
 WITH w AS (SELECT doc_id AS k, [lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9_]+')] AS v FROM documents),
