@@ -1 +1 @@
-
+"""SQL text to graph rows, on the executors."""
