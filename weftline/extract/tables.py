@@ -151,10 +151,25 @@ def tables(st: DataFrame) -> DataFrame:
     )
 
 
+def refresh(old: DataFrame, changes: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Statement rows after changes (path, change: A, M, D): rows of changed
+    files go, those of added and modified ones are extracted again from files.
+    What depends on other files is not in these rows but in the joins of
+    from_statements, so an incremental graph equals a full one."""
+    touched = changes.select(F.col("path").alias("_p")).distinct()
+    again = files.join(changes.where("change <> 'D'").select(F.col("path").alias("_p")).distinct(), F.col("path") == F.col("_p"), "left_semi")
+    kept = old.join(touched, F.col("path") == F.col("_p"), "left_anti")
+    return kept.unionByName(extract_files(again, aliases).select(*old.columns))
+
+
 def graph_of(files: DataFrame, aliases: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """All relations from files (path, repo_path, sha, dialect, content): one
     extraction, written once, feeds them."""
-    st = cut(extract_files(files, aliases), "statements")
+    return from_statements(cut(extract_files(files, aliases), "statements"), files)
+
+
+def from_statements(st: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """All relations from statement rows and the files they are of."""
     cat = ddl_columns(st)
     cat = cut(cat.unionByName(clones(st, cat)), "catalog")
     t = cut(tables(st), "tables")

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from .skew import hot_keys, lookup_join
 
+#: Prefix of the columns that exist only inside; callers' columns keep theirs.
+_OWN = "__weft_"
+
 
 def target_states(target: DataFrame, keys: Sequence[str], seen_at: str | None = None, deleted_at: str | None = None) -> DataFrame:
-    """One row per key: first_seen (smallest seen_at) and alive (some row has no
+    """One row per key: seen (smallest seen_at) and alive (some row has no
     deleted_at). Rows with a null in any key column are no targets."""
     t = target
     for k in keys:
         t = t.where(F.col(k).isNotNull())
     seen = F.min(seen_at) if seen_at else F.lit(None).cast("timestamp")
     alive = F.max(F.col(deleted_at).isNull()) if deleted_at else F.lit(True)
-    return t.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(seen.alias("_seen"), alive.alias("_alive"))
+    return t.groupBy(*[F.col(k).alias(f"{_OWN}{i}") for i, k in enumerate(keys)]).agg(seen.alias(f"{_OWN}seen"), alive.alias(f"{_OWN}alive"))
 
 
-def check(refs: DataFrame, ref_keys: Sequence[str], target: DataFrame, keys: Sequence[str], seen_at: str | None = None, deleted_at: str | None = None, match: str = "simple") -> DataFrame:
-    """Every row of refs with `ref_state` ('missing': no target row has the key;
+def check(refs: DataFrame, ref_keys: Sequence[str], target: DataFrame, keys: Sequence[str], seen_at: str | None = None, deleted_at: str | None = None, match: str = "simple", names: tuple[str, str] = ("ref_state", "first_seen")) -> DataFrame:
+    """Every row of refs with two more columns, named by `names` (columns of
+    refs with these names are replaced): `ref_state` ('missing': no target row has the key;
     'deleted': all that have it are deleted; 'alive'; null: no reference) and
     `first_seen` of the target.
 
@@ -47,36 +51,37 @@ def check(refs: DataFrame, ref_keys: Sequence[str], target: DataFrame, keys: Seq
             part = part.where(F.col(k).isNotNull() if on else F.col(k).isNull())
         if not used or len(used) < len(keys) and match != "partial":
             state = F.lit("missing" if used and match == "full" else None).cast("string")
-            got = part.withColumns({"ref_state": state, "first_seen": F.lit(None).cast("timestamp")})
+            got = part.withColumns({names[0]: state, names[1]: F.lit(None).cast("timestamp")})
         else:
             if len(used) == len(keys):
                 full = full if full is not None else target_states(target, keys, seen_at, deleted_at)
                 states = full
             else:
                 states = target_states(target, [keys[i] for i in used], seen_at, deleted_at)
-            got = _join(part, [ref_keys[i] for i in used], states)
+            got = _join(part, [ref_keys[i] for i in used], states, names)
         out = got if out is None else out.unionByName(got)
     assert out is not None
     return out
 
 
-def _join(part: DataFrame, cols: list[str], states: DataFrame) -> DataFrame:
+def _join(part: DataFrame, cols: list[str], states: DataFrame, names: tuple[str, str]) -> DataFrame:
     if len(cols) == 1:
-        j = lookup_join(part, states, cols[0], "_k0", hot_keys(part, cols[0]))
+        j = lookup_join(part, states, cols[0], f"{_OWN}0", hot_keys(part, cols[0]))
     else:
         cond = F.lit(True)
         for i, c in enumerate(cols):
-            cond = cond & (F.col(c) == F.col(f"_k{i}"))
+            cond = cond & (F.col(c) == F.col(f"{_OWN}{i}"))
         j = part.join(states, cond, "left")
-    state = F.when(F.col("_alive").isNull(), "missing").when(~F.col("_alive"), "deleted").otherwise("alive")
-    return j.withColumns({"ref_state": state, "first_seen": F.col("_seen").cast("timestamp")}).drop("_seen", "_alive", *[f"_k{i}" for i in range(len(cols))])
+    state = F.when(F.col(f"{_OWN}alive").isNull(), "missing").when(~F.col(f"{_OWN}alive"), "deleted").otherwise("alive")
+    return j.withColumns({names[0]: state, names[1]: F.col(f"{_OWN}seen").cast("timestamp")}).drop(f"{_OWN}seen", f"{_OWN}alive", *[f"{_OWN}{i}" for i in range(len(cols))])
 
 
 def orphans(refs: DataFrame, ref_keys: Sequence[str], target: DataFrame, keys: Sequence[str], at: str | None = None, seen_at: str | None = None, deleted_at: str | None = None, match: str = "simple") -> DataFrame:
     """Rows of refs whose reference has no valid target, with a `status` column:
     'missing', 'deleted' (see check), or 'late': the target is alive, but its
     first row was seen only after refs.at."""
-    c = check(refs, ref_keys, target, keys, seen_at, deleted_at, match)
-    late = (F.col("first_seen") > F.col(at)) if at else F.lit(False)
-    status = F.when(F.col("ref_state") != "alive", F.col("ref_state")).when((F.col("ref_state") == "alive") & late, "late")
-    return c.withColumn("status", status).where(F.col("status").isNotNull()).drop("ref_state", "first_seen")
+    own = (f"{_OWN}state", f"{_OWN}first")
+    c = check(refs, ref_keys, target, keys, seen_at, deleted_at, match, own)
+    late = (F.col(own[1]) > F.col(at)) if at else F.lit(False)
+    status = F.when(F.col(own[0]) != "alive", F.col(own[0])).when((F.col(own[0]) == "alive") & late, "late")
+    return c.withColumn("status", status).where(F.col("status").isNotNull()).drop(*own)

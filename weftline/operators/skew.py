@@ -64,9 +64,9 @@ def key_profile(df: DataFrame, key: str, value: str, time: str | None = None) ->
     Null keys form one group; empty input gives no rows. Neither step sends the
     rows of a key to one task: the first spreads them by value, the second
     combines weights before its shuffle."""
-    times = [F.max(time).alias("_last")] if time else []
+    times = [F.max("_t").alias("_last")] if time else []
     # the names are fixed, so that no other column of df can clash with them
-    w = weighted_values(df.select(F.col(key).alias("_k"), F.col(value).alias("_v"), *([F.col(time)] if time else [])), ["_k"], ["_v"], times)
+    w = weighted_values(df.select(F.col(key).alias("_k"), F.col(value).alias("_v"), *([F.col(time).alias("_t")] if time else [])), ["_k"], ["_v"], times)
     known = F.col("_v").isNotNull()
     # of two structs max() takes the one with the greater first field; the
     # smallest of equally frequent values is found by min() of (-weight, value)
