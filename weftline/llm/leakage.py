@@ -146,7 +146,8 @@ def tile_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     for rows in blocks(items, item_id, item_text, block_words):
         sent = spark.sparkContext.broadcast(rows)
-        got = d.mapInPandas(_tiler(sent, least), "doc_id long, item_id long, n_tiles int, longest int, covered int, item_words int")
+        kinds = d.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+        got = d.mapInPandas(_tiler(sent, least), f"doc_id {kinds[0]}, item_id {kinds[1]}, n_tiles int, longest int, covered int, item_words int")
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -16,7 +16,7 @@ if TYPE_CHECKING:
     import pandas as pd
 
 #: Bound of what the driver takes: combinations of source, language and topic.
-MOST_CELLS = 1_000_000
+MOST_CELLS = 200_000
 #: Steps of the score by which documents of a source are taken.
 STEPS = 4096
 
@@ -39,8 +39,9 @@ def _counter(path: str):
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """docs with text replaced by n_tokens. Null texts have 0 tokens."""
-    keep = [f for f in docs.schema.fields if f.name != text]
+    """docs with text replaced by n_tokens (a column of that name goes). Null and
+    empty texts have 0 tokens."""
+    keep = [f for f in docs.schema.fields if f.name not in (text, "n_tokens")]
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType())])
     names = [f.name for f in keep]
 
@@ -112,6 +113,7 @@ class Mixture:
         for s, a, m in rows:  # a source listed twice adds up and takes the larger cap
             self.share[s] = self.share.get(s, 0.0) + max(0.0, a or 0.0)
             self.cap[s] = max(self.cap.get(s, 0), int(m or 0))
+        sized = sized.select("doc_id", "source", "lang", "topic", "n_tokens")
         self.sized = sized.where(F.col("source").isin(list(self.share)) & (F.col("n_tokens") > 0) & F.col("doc_id").isNotNull())
         cells = self.sized.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
         got = cells.limit(MOST_CELLS + 1).collect()

@@ -235,7 +235,8 @@ def residue_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     import numpy as np
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    prep = cut(d.mapInPandas(_prepare, "doc_id long, feats array<int>, ends array<int>, size array<int>, known array<int>"), "passages")
+    kind = d.schema["doc_id"].dataType.simpleString()
+    prep = cut(d.mapInPandas(_prepare, f"doc_id {kind}, feats array<int>, ends array<int>, size array<int>, known array<int>"), "passages")
     llr, prior = np.zeros(BUCKETS), 0.01
     # the first round counts every passage that is not trusted as content: what
     # is common in unlabelled text then speaks against residue from the start
@@ -253,7 +254,7 @@ def residue_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         a, used = 0.5, np.count_nonzero(pos + neg)
         llr = np.log((pos + a * prior) / (pos.sum() + a * prior * used)) - np.log((neg + a) / (neg.sum() + a * used))
         llr[(pos + neg) == 0] = 0.0
-    return prep.mapInPandas(_decide(llr, prior), "doc_id long, n_words long, placeholders long, share double")
+    return prep.mapInPandas(_decide(llr, prior), f"doc_id {kind}, n_words long, placeholders long, share double")
 
 
 def residue_records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.25, rounds: int = ROUNDS) -> DataFrame:
