@@ -67,17 +67,15 @@ def rake(tokens: np.ndarray, levels: Sequence[np.ndarray], targets: Sequence[np.
     w = np.minimum(1.0, caps)
 
     def fit(lv: np.ndarray, want: np.ndarray) -> None:
-        # bounded cells stay at their bound, the others share what is missing
+        # what is too much comes off all cells of a level; what is missing is
+        # shared by the cells below their bound
         for _ in range(60):
-            free = w < caps * (1 - 1e-12)
             got = np.bincount(lv, weights=w * tokens, minlength=len(want))
+            free = w < caps * (1 - 1e-12)
             room = np.bincount(lv[free], weights=(w * tokens)[free], minlength=len(want))
-            rest = want - (got - room)
-            f = np.divide(rest, room, out=np.ones(len(want)), where=room > 0)
-            f = np.maximum(f, 0)
-            over = (f < 1)[lv]  # what is too much comes off all cells of the level
-            shrink = np.divide(want, got, out=np.ones(len(want)), where=got > 0)
-            new = np.where(over, w * shrink[lv], np.where(free, w * f[lv], w))
+            down = np.divide(want, got, out=np.ones(len(want)), where=got > 0)
+            up = np.divide(want - got + room, room, out=np.ones(len(want)), where=room > 0)
+            new = np.where((want < got)[lv], w * down[lv], np.where(free, w * up[lv], w))
             new = np.minimum(new, caps)
             if np.allclose(new, w, rtol=1e-12, atol=0):
                 break

@@ -176,7 +176,8 @@ def _posteriors(b: pd.DataFrame, llr: np.ndarray, prior: float, inner: int = 4):
         s = np.clip(share[doc], 1e-6, 1 - 1e-6)
         p = 1 / (1 + np.exp(-(score + np.log(s / (1 - s)))))
         p[known > 0] = 1.0
-        share = (2 * prior + np.bincount(doc, weights=p, minlength=n)) / (2 + per)
+        # a placeholder says nothing about the passages beside it
+        share = (2 * prior + np.bincount(doc, weights=np.where(known == 2, 0.0, p), minlength=n)) / (2 + per)
     return doc, p, owner, feats, size, known, share
 
 
@@ -189,9 +190,13 @@ def _counts(llr: np.ndarray, prior: float, first: bool):
         for b in batches:
             if not len(b):
                 continue
-            _, p, owner, feats, _, known, _ = _posteriors(b, llr, prior)
+            doc, p, owner, feats, _, known, _ = _posteriors(b, llr, prior)
             if first:
-                p = (known > 0).astype(float)
+                # what stands in one document with trusted errors or filler
+                # starts at their share of it, everything else as content
+                per = np.bincount(doc, minlength=len(b))
+                share = np.bincount(doc, weights=known == 1, minlength=len(b)) / np.maximum(per, 1)
+                p = np.where(known > 0, 1.0, share[doc])
             w = p[owner]
             pos += np.bincount(feats, weights=w, minlength=BUCKETS)
             neg += np.bincount(feats, weights=1 - w, minlength=BUCKETS)
@@ -238,8 +243,8 @@ def residue_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = d.schema["doc_id"].dataType.simpleString()
     prep = cut(d.mapInPandas(_prepare, f"doc_id {kind}, feats array<int>, ends array<int>, size array<int>, known array<int>"), "passages")
     llr, prior = np.zeros(BUCKETS), 0.01
-    # the first round counts every passage that is not trusted as content: what
-    # is common in unlabelled text then speaks against residue from the start
+    # the first round counts passages of documents without trusted ones as
+    # content: what is common in them speaks against residue from the start
     for k in range(rounds):
         got = prep.mapInPandas(_counts(llr, prior, k == 0), "bucket int, pos double, neg double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
         pos, neg, rate = np.zeros(BUCKETS), np.zeros(BUCKETS), (0.0, 0.0)
