@@ -42,7 +42,7 @@ _PARSED = "path string, repo_path string, dialect string, claimed boolean, claim
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Files whose cheapest repair has a cost."""
+    """Files whose cheapest repair has a cost; how much it is, is p5_repairs'."""
     t = _current_texts(spark, d).select("path", "dialect", "content")
     got = t.mapInPandas(syntax.parse_batches(False), "path string, dialect string, cost int, n_statements int, n_bad int, kind string, parsed_as string")
     return got.where("cost > 0").select("path").distinct()
