@@ -77,7 +77,7 @@ def scan(spark: SparkSession, root: str, patterns: Sequence[str] = (), only: Seq
     """(path, content, sha) of all .sql files under root, path relative to it.
     The listing and the reading are Spark's, so any file system works. only
     keeps to a list of paths, such as tracked()'s."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").text(root)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").text(root, wholetext=True)
     base = root.rstrip("/") + "/"
     full = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:(//)?", "")
     df = df.select(F.substring(full, F.length(F.lit(base)) + 1 if "://" not in base else F.instr(full, base) + len(base), F.length(full)).alias("path"), F.col("value").alias("content"), F.sha1(F.col("value").cast("binary")).alias("sha"))
