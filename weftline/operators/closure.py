@@ -5,27 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut
+from ..session import cut, drop_cut, is_empty, rows_written
 
+#: Edges that one task may hold: a graph measured to have no more is walked in
+#: one go, as a small table is broadcast; a larger one level by level.
+LOCAL_EDGES = 500_000
 
-def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, src: str = "src_key", dst: str = "dst_key", keep_start: bool = False) -> DataFrame:
+
+def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, src: str = "src_key", dst: str = "dst_key", keep_start: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, depth): what can be reached from the start nodes (column `node`),
     with the least number of edges. Start nodes are at depth 0 and left out
     unless keep_start; a start node reached from another stays a start node.
 
     One join and one anti-join per level, whatever the number of nodes in it; a
     level is written to the shared folder, so a lost executor costs one level.
-    Loops end because visited nodes are not taken again; null ends lead
-    nowhere."""
+    A graph of at most local_edges edges, start nodes included, is walked by one
+    task instead. Loops end because visited nodes are not taken again; null ends
+    lead nowhere."""
     e = cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where(F.col("_s").isNotNull() & F.col("_d").isNotNull()).distinct(), "edges")
     level = cut(start.select("node").where(F.col("node").isNotNull()).distinct().withColumn("depth", F.lit(0)), "level")
+    if rows_written(e) + rows_written(level) <= local_edges:
+        both = e.select("_s", "_d").unionByName(level.select(F.col("node").alias("_s"), F.lit(None).cast(e.schema["_d"].dataType).alias("_d")))
+        out = both.repartition(1).mapInPandas(_walker(max_depth), f"node {e.schema['_s'].dataType.simpleString()}, depth int")
+        return out if keep_start else out.where("depth > 0")
     seen, parts, depth = level, [level], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = level.join(e, F.col("node") == F.col("_s")).select(F.col("_d").alias("node")).distinct()
         new = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         level = cut(new, "level")
-        if level.isEmpty():
+        if is_empty(level):
             break
         parts.append(level)
         seen = parts[0]
@@ -39,6 +48,37 @@ def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, sr
     return out if keep_start else out.where("depth > 0")
 
 
+def _walker(max_depth: int | None):
+    """A function for mapInPandas over (_s, _d) in one partition: an edge, or a
+    start node where _d is null."""
+
+    def run(batches):
+        import pandas as pd
+
+        after: dict = {}
+        level: list = []
+        for b in batches:
+            for s, d in zip(b["_s"].tolist(), b["_d"].tolist()):
+                if d is None or d != d:
+                    level.append(s)
+                else:
+                    after.setdefault(s, []).append(d)
+        seen, depth = dict.fromkeys(level, 0), 0
+        level = list(seen)
+        while level and (max_depth is None or depth < max_depth):
+            depth += 1
+            nxt = []
+            for s in level:
+                for d in after.get(s, ()):
+                    if d not in seen:
+                        seen[d] = depth
+                        nxt.append(d)
+            level = nxt
+        yield pd.DataFrame({"node": pd.Series(list(seen), dtype=object), "depth": pd.Series(list(seen.values()), dtype="int32")})
+
+    return run
+
+
 def contract(edges: DataFrame, synthetic: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges between real nodes, hops through synthetic ones (column `node`)
     made direct: real -> synthetic* -> real becomes real -> real. Self-loops are
@@ -51,8 +91,8 @@ def contract(edges: DataFrame, synthetic: DataFrame, src: str = "src", dst: str
     first = mark(e.join(syn, F.col("a") == F.col("_n"), "left_anti"), "b")
     paths = cut(first, "paths")
     done = [paths.where("not is_syn").select("a", "b")]
-    open_, seen = paths.where("is_syn").select("a", "b"), paths.where("is_syn").select("a", "b")
-    while not open_.isEmpty():
+    open_, seen, nxt = paths.where("is_syn").select("a", "b"), paths.where("is_syn").select("a", "b"), paths
+    while not is_empty(nxt):
         nxt = open_.join(behind.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "is_syn"), F.col("b") == F.col("_a")).select("a", F.col("_b").alias("b"), "is_syn").distinct()
         nxt = cut(nxt.join(seen, ["a", "b"], "left_anti"), "paths")
         done.append(nxt.where("not is_syn").select("a", "b"))
@@ -74,7 +114,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rest, e, parts, k = cut(n, "rest"), cut(e, "order"), [], 0
     while True:
         ready = cut(rest.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(k)), "ready")
-        if ready.isEmpty():
+        if is_empty(ready):
             break
         parts.append(ready)
         old_r, old_e = rest, e

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -51,12 +52,25 @@ def cut(df: DataFrame, tag: str = "t") -> DataFrame:
     there, and a lost executor costs no recomputation of earlier rounds."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path  # type: ignore[attr-defined]
+    out._weftline_rows = seen.get["n"]  # type: ignore[attr-defined]
     return out
 
 
+def rows_written(df: DataFrame) -> int:
+    """Rows of a table made by cut(), as counted when it was written: never less
+    than there are, more if a lost task was repeated. Good for choosing a way to
+    go and for telling none from some, not for results."""
+    return df._weftline_rows  # type: ignore[attr-defined]
+
+
+def is_empty(df: DataFrame) -> bool:
+    return rows_written(df) == 0 if hasattr(df, "_weftline_rows") else df.isEmpty()
+
+
 def drop_cut(*dfs: DataFrame | None) -> None:
     """Delete tables made by cut() that nothing reads any more."""
     for df in dfs:
