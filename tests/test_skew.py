@@ -23,16 +23,17 @@ def test_profile_of_nothing(spark):
 
 
 def test_percentiles_against_sorting(spark):
-    data = [("h", float(i % 97)) for i in range(1000)] + [("one", 5.0), ("none", None), ("nan", float("nan")), ("two", 1.0), ("two", 2.0), (None, 3.0)]
+    data = [("h", float(i % 97) ** 3) for i in range(1000)] + [("one", 5.0), ("none", None), ("nan", float("nan")), ("two", 1.0), ("two", 2.0), (None, 3.0)]
     df = spark.createDataFrame(data, "k string, v double")
-    got = {(r[0], r[1]): r[2] for r in S.weighted_percentiles(df, "k", "v", [0.0, 0.5, 0.9, 1.0]).collect()}
     import math
 
-    for k in ("h", "one", "two"):
-        vs = sorted(v for a, v in data if a == k)
-        for p in (0.0, 0.5, 0.9, 1.0):
-            assert got[k, p] == vs[max(1, math.ceil(p * len(vs))) - 1]
-    assert {k for k, _ in got} == {"h", "one", "two"}
+    for at_once in (S.SORTED_AT_ONCE, 3):  # sorted at once, and narrowed
+        got = {(r[0], r[1]): r[2] for r in S.weighted_percentiles(df, "k", "v", [0.0, 0.5, 0.9, 1.0], bins=4, at_once=at_once).collect()}
+        for k in ("h", "one", "two"):
+            vs = sorted(v for a, v in data if a == k)
+            for p in (0.0, 0.5, 0.9, 1.0):
+                assert got[k, p] == vs[max(1, math.ceil(p * len(vs))) - 1]
+        assert {k for k, _ in got} == {"h", "one", "two"}
 
 
 def test_lookup_join_with_hot_key(spark):

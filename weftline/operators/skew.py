@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: A key is hot when it holds more than 1/HOT_PARTS of the rows, so there are
 #: fewer than HOT_PARTS hot keys at any size of the data.
 HOT_PARTS = 200
@@ -82,34 +84,52 @@ def key_profile(df: DataFrame, key: str, value: str, time: str | None = None) ->
     return out.select(*cols, *(["last_time"] if time else []))
 
 
-def weighted_percentiles(df: DataFrame, key: str, value: str, points: Sequence[float], buckets: int = 64) -> DataFrame:
+#: Distinct values of one key that one task may sort.
+SORTED_AT_ONCE = 20_000
+
+
+def weighted_percentiles(df: DataFrame, key: str, value: str, points: Sequence[float], bins: int = 64, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     """Exact discrete percentiles per key: for each point p the smallest value
-    whose cumulative weight reaches p of the key's non-null rows.
-
-    Values are compressed to (key, value, weight) first. A key may still have
-    very many values, so cumulative weights come in two steps: values fall into
-    `buckets` equal-width bins per key, bins are summed (at most `buckets` rows
-    a key), and the running sum inside a bin restarts per (key, bin); a bin that
-    holds the percentile is known from the bin sums, and only those bins are
-    sorted. Rows: key, point, value. Keys with no value give no row."""
-    k = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    w = weighted_values(k, ["_k"], ["_v"])
+    whose cumulative weight reaches p of the key's rows with a value. Rows: key,
+    point, value. Nulls and NaN are no values; keys without any, and the null
+    key, give no row.
+
+    Values are compressed to (key, value, weight). For every (key, point) the
+    interval that holds the answer is then narrowed: its values are summed in
+    `bins` equal parts and the part that reaches the point is kept, until it has
+    at most `at_once` distinct values, which are sorted. So however many values
+    a key has, none of its tasks gets more than that; as a rule the first
+    interval is small enough already."""
     from pyspark.sql import Window as W
 
-    span = w.groupBy("_k").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("weight").alias("total"))
-    span = span.withColumnRenamed("_k", "_sk")
+    k = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_k").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    w = cut(weighted_values(k, ["_k"], ["_v"]), "weights")
     hot = hot_keys(w, "_k")
-    binned = lookup_join(w, span, "_k", "_sk", hot, "inner")
-    binned = binned.where(F.col("_k").isNotNull())
-    width = (F.col("hi") - F.col("lo")) / F.lit(buckets)
-    binned = binned.withColumn("bin", F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("lo")) / width))).cast("int"))
-    sums = binned.groupBy("_k", "bin", "total").agg(F.sum("weight").alias("bw"))
-    upto = F.sum("bw").over(W.partitionBy("_k").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))
-    sums = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("bw"))
-    want = F.explode(F.array(*[F.lit(float(p)) for p in points]))
-    at = sums.withColumn("point", want).withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("point") * F.col("total"))))
-    at = at.where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("upto"))).select(F.col("_k").alias("_bk"), F.col("bin").alias("_bb"), "point", "need", "before")
-    cand = binned.join(at, (F.col("_k") == F.col("_bk")) & (F.col("bin") == F.col("_bb")))
-    run = F.sum("weight").over(W.partitionBy("_k", "bin", "point").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    got = cand.withColumn("run", run + F.col("before")).where(F.col("run") >= F.col("need"))
+    s = w.groupBy("_k").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    s = s.withColumn("point", F.explode(F.array(*[F.lit(float(p)) for p in points])))
+    s = s.select("_k", "point", "lo", "hi", "n", F.lit(0).cast("long").alias("before"), F.greatest(F.lit(1), F.ceil(F.col("point") * F.col("total"))).alias("need"))
+
+    def inside(state: DataFrame) -> DataFrame:
+        """Values of the intervals of state, with the interval's columns."""
+        one = state.groupBy(F.col("_k").alias("_s")).agg(F.collect_list(F.struct("point", "lo", "hi", "before", "need")).alias("i"))
+        j = lookup_join(w, one, "_k", "_s", hot, "inner").select("_k", "_v", "weight", F.explode("i").alias("i"))
+        return j.select("_k", "_v", "weight", "i.*").where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+
+    small: list[DataFrame] = []
+    while True:
+        s = cut(s, "intervals")
+        small.append(s.where((F.col("n") <= at_once) | (F.col("lo") == F.col("hi"))))
+        wide = s.where((F.col("n") > at_once) & (F.col("lo") < F.col("hi")))
+        if wide.isEmpty():
+            break
+        part = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
+        b = inside(wide).groupBy("_k", "point", "before", "need", part.alias("bin")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("weight").alias("bw"), F.count(F.lit(1)).alias("n"))
+        upto = F.col("before") + F.sum("bw").over(W.partitionBy("_k", "point").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))
+        b = b.withColumn("upto", upto).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("bw") < F.col("need")))
+        s = b.select("_k", "point", "lo", "hi", "n", (F.col("upto") - F.col("bw")).alias("before"), "need")
+    every = small[0]
+    for x in small[1:]:
+        every = every.unionByName(x)
+    run = F.sum("weight").over(W.partitionBy("_k", "point").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    got = inside(every).withColumn("run", run + F.col("before")).where(F.col("run") >= F.col("need"))
     return got.groupBy(F.col("_k").alias(key), "point").agg(F.min("_v").alias("value"))
