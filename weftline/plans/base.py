@@ -18,8 +18,9 @@ def name_of(col):
     return F.element_at(F.split(col, r"\."), -1)
 
 
-def load_graph(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """All relations, one row per key. Files are the current versions; tables,
+def load_graph(spark: SparkSession, d: str, texts: bool = False) -> dict[str, DataFrame]:
+    """All relations, one row per key; statement texts only with texts, as a row
+    is picked and shuffled whole. Files are the current versions; tables,
     columns, queries and edges the latest rows that are not deleted; what the
     tables do not hold follows from them:
 
@@ -37,6 +38,7 @@ def load_graph(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     c = t("sql_column").where(F.col("id").isNotNull())
     g["sql_column"] = pick(c, ["id"], [F.col("indexed_at"), F.col("deleted_at").isNull()]).where(F.col("deleted_at").isNull()).drop("indexed_at", "deleted_at")
     q = t("sql_query").where(F.col("id").isNotNull())
+    q = q if texts else q.drop("sql")
     g["sql_query"] = pick(q, ["id"], [F.col("indexed_at"), F.col("deleted_at").isNull()]).where(F.col("deleted_at").isNull()).drop("indexed_at", "deleted_at")
     pair = F.col("src_key").isNotNull() & F.col("dst_key").isNotNull()
     g["selects_from"] = t("selects_from").where(pair).select("src_key", "dst_key").distinct()

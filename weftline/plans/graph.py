@@ -413,7 +413,7 @@ QUERIES = {
     "g07_contracted_reads": _plan(lambda g: C.contract(N.reads_adjacency(g).select(F.col("source_table").alias("src"), F.col("dest_table").alias("dst")), _synthetic(g))),
     "g08_levels": _plan(lambda g: C.levels(N.reads_adjacency(g).select(F.explode(F.array("source_table", "dest_table")).alias("node")), N.reads_adjacency(g).select(F.col("source_table").alias("src"), F.col("dest_table").alias("dst")))),
     "g09_row_reachability": lambda s, d: (lambda g: row_reachability(g, cut(N.hub_ranking(g, 1).select("table_qualified"), "seed")))(load_graph(s, d)),
-    "g10_find_usages": _plan(find_usages),
+    "g10_find_usages": lambda s, d: find_usages(load_graph(s, d, texts=True)),
     "g11_find_definition": _plan(find_definition),
     "g12_change_scope": _with_seed(lambda g, t: change_scope(g, t)),
     "g13_backfill_levels": _with_seed(lambda g, t: backfill_levels(g, t)),
@@ -425,14 +425,14 @@ QUERIES = {
     "g19_lost_producers": lambda s, d: lost_producers(*_states(s, d)),
     "g20_pr_impact": lambda s, d: pr_impact(*_states(s, d)),
     "g25_db_info": _plan(db_info),
-    "g26_execute_sql": lambda s, d: execute_sql(s, load_graph(s, d), "SELECT kind, count(*) AS n FROM sql_table GROUP BY kind"),
+    "g26_execute_sql": lambda s, d: execute_sql(s, load_graph(s, d, texts=True), "SELECT kind, count(*) AS n FROM sql_table GROUP BY kind"),
     "g29_analyze_downstream": _with_seed(lambda g, t: analyze(g, _seed_cols(g, t), False)),
     "g29_analyze_upstream": lambda s, d: (lambda g: analyze(g, cut(_hub_cols(g), "seed"), True, kinds=None))(load_graph(s, d)),
     "g30_impact": _plan(impact),
     "g31_failures": _plan(failures),
     "g34_find_table": _plan(find_like, "table", "day"),
     "g34_find_column": _plan(find_like, "column", "flag", None),
-    "g34_find_pattern": _plan(find_like, "pattern", "Hold back", None),
+    "g34_find_pattern": lambda s, d: find_like(load_graph(s, d, texts=True), "pattern", "Hold back", None),
     "g35_noise": _plan(_noise),
     "g37_viz_links": _plan(viz_links),
     "g37_viz_nodes": _plan(viz_nodes),

@@ -204,6 +204,10 @@ def _plan(f, *args):
     return lambda spark, d: f(load_graph(spark, d), *args)
 
 
+def _texts(f, *args):
+    return lambda spark, d: f(load_graph(spark, d, texts=True), *args)
+
+
 def _count(relation: str, where: str | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = load_graph(spark, d)[relation]
@@ -214,12 +218,12 @@ def _count(relation: str, where: str | None = None):
 
 QUERIES = {
     "n05_repo_files": _plan(repo_files, "/srv/git/claims-etl"),
-    "n06_trace_column_lineage": _plan(trace_column_lineage),
-    "n07_table_usages": _plan(table_usages),
+    "n06_trace_column_lineage": _texts(trace_column_lineage),
+    "n07_table_usages": _texts(table_usages),
     "n08_downstream": _plan(downstream_one),
     "n09_upstream": _plan(upstream_one),
-    "n10_search_sql": _plan(search_sql, "batch_no"),
-    "n10_search_sql_top": _plan(search_sql, "batch_no", 20),
+    "n10_search_sql": _texts(search_sql, "batch_no"),
+    "n10_search_sql_top": _texts(search_sql, "batch_no", 20),
     "n11_dialects_and_repos": _plan(dialects_and_repos),
     "n16_count_join_resolved": _count("column_lineage", "transform = 'JOIN_COL_RESOLVED'"),
     "n17_count_star_sources": _count("star_source"),
@@ -240,7 +244,7 @@ QUERIES = {
     "n31_external_consumers": _plan(external_consumers),
     "n33_count_consumers": _count("consumed_by"),
     "n34_reads_adjacency": _plan(reads_adjacency),
-    "n35_usages_via_lineage": _plan(usages_via_lineage),
+    "n35_usages_via_lineage": _texts(usages_via_lineage),
     "n36_producer_tables": _plan(producer_tables),
     "n37_consumers_via_lineage": _plan(consumers_via_lineage),
 }
