@@ -264,7 +264,7 @@ FROM lineage_ cl JOIN column_ src ON src.id = cl.src_key LEFT JOIN query_ q ON q
     "n09_upstream": "SELECT cl.dst_key, s.id, s.col_name, s.table_qualified FROM lineage_ cl JOIN column_ s ON s.id = cl.src_key",
     "n10_search_sql": _QF + "SELECT qf.file, q.sql, q.kind FROM query_ q JOIN qf ON qf.qid = q.id WHERE contains(q.sql, 'batch_no')",
     "n10_search_sql_top": _QF + "SELECT file, sql, kind FROM (SELECT qf.file, q.sql, q.kind FROM query_ q JOIN qf ON qf.qid = q.id WHERE contains(q.sql, 'batch_no') ORDER BY qf.file, q.statement_index, q.id LIMIT 20)",
-    "n11_dialects_and_repos": "SELECT r.path, r.name, list_sort(list(DISTINCT f.dialect) FILTER (f.dialect IS NOT NULL)) AS dialects FROM repo_ r JOIN belongs_ b ON b.dst_key = r.path JOIN file_ f ON f.path = b.src_key GROUP BY 1, 2",
+    "n11_dialects_and_repos": "SELECT r.path, r.name, coalesce(list_sort(list(DISTINCT f.dialect) FILTER (f.dialect IS NOT NULL)), []) AS dialects FROM repo_ r JOIN belongs_ b ON b.dst_key = r.path JOIN file_ f ON f.path = b.src_key GROUP BY 1, 2",
     "n16_count_join_resolved": "SELECT count(*) AS n FROM lineage_ WHERE transform = 'JOIN_COL_RESOLVED'",
     "n17_count_star_sources": "SELECT count(*) AS n FROM star_",
     "n18_count_star_expansions": "SELECT count(*) AS n FROM lineage_ WHERE transform = 'STAR_EXPANSION'",
