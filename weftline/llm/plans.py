@@ -31,8 +31,12 @@ def _none(spark: SparkSession, schema: str) -> DataFrame:
 def _current_texts(spark: SparkSession, d: str) -> DataFrame:
     """Current version of each path with its content."""
     f = table(spark, d, "src_file").where(F.col("path").isNotNull() & F.col("sha").isNotNull() & F.col("indexed_at").isNotNull())
-    top = f.groupBy("path").agg(F.max(F.struct("indexed_at", "sha", "repo_path", "dialect", "parse_failed", "parse_cause")).alias("v"))
-    cur = top.select(F.col("path").alias("_p"), F.col("v.sha").alias("_s"), F.col("v.repo_path").alias("repo_path"), F.col("v.dialect").alias("dialect"), F.col("v.parse_failed").alias("claimed"), F.col("v.parse_cause").alias("claimed_cause"))
+    top = f.groupBy("path").agg(
+        F.max(F.struct("indexed_at", "sha", "repo_path", "dialect", "parse_failed", "parse_cause")).alias("v"),
+        # where the current row has no dialect, the last one known for the path
+        F.max(F.when(F.col("dialect").isNotNull(), F.struct("indexed_at", "dialect"))).alias("k"),
+    )
+    cur = top.select(F.col("path").alias("_p"), F.col("v.sha").alias("_s"), F.col("v.repo_path").alias("repo_path"), F.coalesce("v.dialect", "k.dialect").alias("dialect"), F.col("v.parse_failed").alias("claimed"), F.col("v.parse_cause").alias("claimed_cause"))
     t = table(spark, d, "file_text").select("path", "sha", "content")
     j = t.join(cur, (F.col("path") == F.col("_p")) & (F.col("sha") == F.col("_s")))
     return j.select("path", "repo_path", "dialect", "claimed", "claimed_cause", "content")
