@@ -14,8 +14,8 @@ from ..session import cut, table
 def current_files(spark: SparkSession, d: str) -> DataFrame:
     """(path, repo_path, sha, dialect, content) of current versions."""
     f = table(spark, d, "src_file").where(F.col("path").isNotNull() & F.col("sha").isNotNull() & F.col("indexed_at").isNotNull())
-    top = f.groupBy("path").agg(F.max(F.struct("indexed_at", "sha", "repo_path", "dialect")).alias("v"))
-    cur = top.select(F.col("path").alias("_p"), F.col("v.sha").alias("_s"), F.col("v.repo_path").alias("repo_path"), F.col("v.dialect").alias("dialect"))
+    top = f.groupBy("path").agg(F.max(F.struct("indexed_at", "sha", "repo_path", "dialect")).alias("v"), F.max(F.when(F.col("dialect").isNotNull(), F.struct("indexed_at", "dialect"))).alias("k"))
+    cur = top.select(F.col("path").alias("_p"), F.col("v.sha").alias("_s"), F.col("v.repo_path").alias("repo_path"), F.coalesce("v.dialect", "k.dialect").alias("dialect"))
     t = table(spark, d, "file_text").dropDuplicates(["path", "sha"])
     return t.join(cur, (F.col("path") == F.col("_p")) & (F.col("sha") == F.col("_s"))).select("path", "repo_path", "sha", "dialect", "content")
 
