@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut
-from .skew import hot_keys, lookup_join
+from ..session import cut, drop_cut, rows_where
+from .skew import LEAST_HOT, hot_keys, lookup_join
 
 #: Rounds of one-level peeling before the rest (the trunk: nodes taller than
 #: this, and all loops) is resolved by doubling.
@@ -44,13 +44,14 @@ def _double(trunk: DataFrame, paths: bool) -> DataFrame:
     if paths:
         cols.append(F.array("parent").alias("up"))  # ancestors, nearest first
     s = trunk.select(*cols).join(inside, F.col("jump") == F.col("_t"), "left").withColumn("done", F.col("_t").isNull()).drop("_t")
-    s = cut(s, "trunk")
-    left = s.where(~F.col("done")).count()
-    rounds = 0
+    s = cut(s, "trunk", "not done")
+    left, rounds = rows_where(s), 0
     while left:
         t = s.select(F.col("node").alias("_t"), F.col("jump").alias("_j"), F.col("dist").alias("_d"), F.col("low").alias("_l"), F.col("done").alias("_e"), *([F.col("up").alias("_u")] if paths else []))
         todo = s.where(~F.col("done"))
-        nxt = lookup_join(todo, t, "jump", "_t", hot_keys(todo, "jump"), "inner")
+        # fewer rows than make a key hot need no look
+        hot = hot_keys(todo, "jump") if left >= LEAST_HOT else []
+        nxt = lookup_join(todo, t, "jump", "_t", hot, "inner")
         new = ["node", F.col("_j").alias("jump"), (F.col("dist") + F.col("_d")).alias("dist"), F.least("low", "_l").alias("low"), "size"]
         if paths:
             new.append(F.concat("up", "_u").alias("up"))
@@ -58,12 +59,12 @@ def _double(trunk: DataFrame, paths: bool) -> DataFrame:
         gives = todo.groupBy(F.col("jump").alias("_g")).agg(F.sum("size").alias("_s"))
         every = nxt.select(*new).unionByName(s.where(F.col("done")))
         every = every.join(gives, F.col("node") == F.col("_g"), "left").withColumn("size", F.col("size") + F.coalesce("_s", F.lit(0))).drop("_g", "_s")
-        old, s = s, cut(every, "trunk")
-        drop_cut(old)
-        now = s.where(~F.col("done")).count()
-        rounds += 1
-        if now == left:
+        old, s = s, cut(every, "trunk", "not done")
+        now, rounds = rows_where(s), rounds + 1
+        if now == left and s.where(~F.col("done")).count() == old.where(~F.col("done")).count():
+            drop_cut(old)
             break
+        drop_cut(old)
         left = now
     ok = s.where("done").select("node", F.col("jump").alias("root"), F.col("dist").alias("depth"), (F.col("size") - 1).alias("below"), *([F.reverse(F.concat(F.array("node"), "up")).alias("path")] if paths else []))
     if not left:
@@ -73,7 +74,8 @@ def _double(trunk: DataFrame, paths: bool) -> DataFrame:
     loop = cut(s.where(~F.col("done")).select("node", "jump", "low"), "loop")
     while (1 << rounds) < left:
         t = loop.select(F.col("node").alias("_t"), F.col("jump").alias("_j"), F.col("low").alias("_l"))
-        nxt = lookup_join(loop, t, "jump", "_t", hot_keys(loop, "jump"), "inner").select("node", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"))
+        hot = hot_keys(loop, "jump") if left >= LEAST_HOT else []
+        nxt = lookup_join(loop, t, "jump", "_t", hot, "inner").select("node", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"))
         old, loop = loop, cut(nxt, "loop")
         drop_cut(old)
         rounds += 1
@@ -96,13 +98,12 @@ def hierarchy(links: DataFrame, paths: bool = False, peel_rounds: int = PEEL_ROU
     on the loop, path and n_descendants null. Empty links give no rows."""
     base = cut(links.select("node", "parent"), "links")
     hot = hot_keys(base, "parent")
-    rest, levels, marks, gone = base.withColumn("below", F.lit(0).cast("long")), [], [], None
+    rest, levels, gone = base.withColumn("below", F.lit(0).cast("long")), [], None
     for _ in range(peel_rounds):
-        marked = cut(_peel(rest, gone), "peel")
-        marks.append(marked)
+        marked = cut(_peel(rest, gone), "peel", "leaf")
         gone = marked.where("leaf").drop("leaf")
         rest = marked.where(~F.col("leaf")).drop("leaf")
-        if gone.isEmpty():
+        if not rows_where(marked):
             break
         levels.append(gone)
     if gone is not None and levels and levels[-1] is gone:
@@ -160,10 +161,10 @@ def loops(h: DataFrame, links: DataFrame) -> DataFrame:
     front = up.where(F.col("node") == F.col("root")).select("root", F.col("parent").alias("at"), F.lit(1).cast("long").alias("n"))
     closed: list[DataFrame] = []
     while True:
-        front = cut(front, "front")
+        front = cut(front, "front", "at <> root")
         closed.append(front.where(F.col("at") == F.col("root")).select("root", "n"))
         still = front.where(F.col("at") != F.col("root"))
-        if still.isEmpty():
+        if not rows_where(front):
             break
         step = up.select(F.col("node").alias("_n"), "parent")
         front = still.join(step, F.col("at") == F.col("_n")).select("root", F.col("parent").alias("at"), (F.col("n") + 1).alias("n"))

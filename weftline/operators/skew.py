@@ -17,9 +17,11 @@ HOT_PARTS = 200
 #: Share of rows looked at to find hot keys. It decides how a join runs, never
 #: what it returns.
 LOOK = 0.02
+#: A key of fewer rows is never hot.
+LEAST_HOT = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS, least: int = 10_000) -> list:
+def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS, least: int = LEAST_HOT) -> list:
     """Values of key that hold more than about 1/parts of all rows and at least
     `least` rows; at most `parts` of them. They are estimated from a share of
     the rows, as they only choose the way of a join. Null is never hot (it joins

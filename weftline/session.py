@@ -47,16 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def cut(df: DataFrame, tag: str = "t") -> DataFrame:
+def cut(df: DataFrame, tag: str = "t", where: str = "true") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the plan ends
-    there, and a lost executor costs no recomputation of earlier rounds."""
+    there, and a lost executor costs no recomputation of earlier rounds. Its
+    rows, and those that satisfy `where`, are counted on the way."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.expr(where)).alias("w")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path  # type: ignore[attr-defined]
     out._weftline_rows = seen.get["n"]  # type: ignore[attr-defined]
+    out._weftline_where = seen.get["w"]  # type: ignore[attr-defined]
     return out
 
 
@@ -67,6 +69,11 @@ def rows_written(df: DataFrame) -> int:
     return df._weftline_rows  # type: ignore[attr-defined]
 
 
+def rows_where(df: DataFrame) -> int:
+    """As rows_written(), of the rows that satisfy cut()'s `where`."""
+    return df._weftline_where  # type: ignore[attr-defined]
+
+
 def is_empty(df: DataFrame) -> bool:
     return rows_written(df) == 0 if hasattr(df, "_weftline_rows") else df.isEmpty()
 
