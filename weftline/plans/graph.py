@@ -483,7 +483,35 @@ _DIFF = """, own AS (SELECT d.src_key AS table_qualified FROM defined_ d JOIN ta
  UNION SELECT q.target_table FROM query_ q JOIN file_ f ON f.path = q.file_path WHERE f.parse_failed AND q.target_table <> ''),
  scol AS (SELECT DISTINCT c.id AS node FROM own s JOIN table_ t ON t.qualified = s.table_qualified JOIN has_ h ON h.src_key = s.table_qualified JOIN column_ c ON c.id = h.dst_key), le AS (SELECT DISTINCT src_key, dst_key FROM lineage_)\n"""
 
+# levels: what is on a loop or behind one has none, the rest the longest way to it
+_LEVELS = """, ed AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst AND src IN (SELECT node FROM {nodes}) AND dst IN (SELECT node FROM {nodes})),
+ rr AS (SELECT src AS a, dst AS b FROM ed UNION SELECT rr.a, ed.dst FROM rr JOIN ed ON ed.src = rr.b),
+ bad AS (SELECT DISTINCT a AS node FROM rr WHERE a = b UNION SELECT rr.b FROM rr WHERE rr.a IN (SELECT a FROM rr WHERE a = b)),
+ lv AS (SELECT node, 0 AS level FROM {nodes} WHERE node NOT IN (SELECT dst FROM ed) UNION SELECT ed.dst, lv.level + 1 FROM lv JOIN ed ON ed.src = lv.node WHERE ed.dst NOT IN (SELECT node FROM bad)),
+ lvl AS (SELECT node, CAST(max(level) AS INTEGER) AS level, false AS in_cycle FROM lv GROUP BY node UNION ALL SELECT DISTINCT node, CAST(NULL AS INTEGER), true FROM bad)\n"""
+_STATES = """, f AS (SELECT id, arg_min(target_table, (indexed_at, target_table, file_path)) AS t, arg_min(file_path, (indexed_at, target_table, file_path)) AS p, min(indexed_at) AS i FROM sql_query WHERE id IS NOT NULL GROUP BY 1),
+ half AS (SELECT min(indexed_at) + (max(indexed_at) - min(indexed_at)) / 2 AS h FROM sql_query),
+ bq AS (SELECT id, t, p FROM f, half WHERE i <= h AND t <> ''), hq AS (SELECT id, t, p FROM f, half WHERE i > h AND t <> ''),
+ rs AS (SELECT src_key, dst_key FROM reads_ UNION SELECT src_key, dst_key FROM star_),
+ ba AS (SELECT DISTINCT rs.dst_key AS s, bq.t AS d FROM rs JOIN bq ON bq.id = rs.src_key), ha AS (SELECT DISTINCT rs.dst_key AS s, hq.t AS d FROM rs JOIN hq ON hq.id = rs.src_key),
+ lost AS (SELECT DISTINCT lower(t) AS t FROM bq WHERE t NOT IN (SELECT t FROM hq)),
+ new AS (SELECT DISTINCT lower(t) AS t FROM hq WHERE t NOT IN (SELECT t FROM bq) AND lower(t) NOT IN (SELECT qualified FROM table_ WHERE kind IN ('cte','derived','temp'))),
+ cs AS (SELECT lower(src_key) AS t, list(DISTINCT string_split(dst_key, '.')[-1]) AS x FROM has_ GROUP BY 1), lc AS (SELECT lower(s) AS t, list(DISTINCT lower(d)) AS x FROM ba GROUP BY 1), nc AS (SELECT lower(s) AS t, list(DISTINCT lower(d)) AS x FROM ha GROUP BY 1),
+ cand AS (SELECT lost.t AS l, new.t AS n FROM lost JOIN cs c1 ON c1.t = lost.t JOIN lc ON lc.t = lost.t, new JOIN cs c2 ON c2.t = new.t JOIN nc ON nc.t = new.t
+  WHERE len(list_intersect(c1.x, c2.x))::DOUBLE / len(list_distinct(list_concat(c1.x, c2.x))) >= 0.6 AND len(list_intersect(lc.x, nc.x))::DOUBLE / len(list_distinct(list_concat(lc.x, nc.x))) >= 0.6),
+ ord AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM lost),
+ gr AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS t, CAST(NULL AS VARCHAR) AS n, CAST([] AS VARCHAR[]) AS taken
+  UNION ALL SELECT o.k, o.t, z.n, CASE WHEN z.n IS NULL THEN gr.taken ELSE list_append(gr.taken, z.n) END FROM gr JOIN ord o ON o.k = gr.k + 1, LATERAL (SELECT min(c.n) AS n FROM cand c WHERE c.l = o.t AND NOT list_contains(gr.taken, c.n)) z),
+ lp AS (SELECT t AS lost_table, n AS renamed_to FROM gr WHERE k > 0)\n"""
+
 ORACLE = {k: sql(v) for k, v in {
+    "g08_levels": N._READS + ", nd AS (SELECT source_table AS node FROM reads_adj UNION SELECT dest_table FROM reads_adj), re AS (SELECT source_table AS src, dest_table AS dst FROM reads_adj)" + _LEVELS.format(edges="re", nodes="nd") + "SELECT * FROM lvl",
+    "g13_backfill_levels": _X_ALL + _ADJ + _SYN + _CONTR.format(a="u", b="v", rel="tadj") + ", nd AS (SELECT table_qualified AS node FROM realt UNION SELECT table_qualified FROM seed)" + _LEVELS.format(edges="con", nodes="nd") + "SELECT node AS table_qualified, level, in_cycle FROM lvl",
+    "g19_lost_producers": _STATES + "SELECT * FROM lp",
+    "g20_pr_impact": _STATES + _SYN + _CONTR.format(a="s", b="d", rel="ba") + """
+SELECT table_qualified, file_path, n_files, n_direct, CASE WHEN n_direct = 0 THEN 'safe' WHEN n_direct <= 5 THEN 'low' WHEN n_direct <= 20 THEN 'medium' ELSE 'high' END AS risk FROM (SELECT lost_table AS table_qualified,
+ (SELECT min(bq.p) FROM bq JOIN file_ ON file_.path = bq.p WHERE bq.t = lost_table) AS file_path, (SELECT count(DISTINCT bq.p) FROM bq JOIN file_ ON file_.path = bq.p WHERE bq.t = lost_table) AS n_files,
+ (SELECT count(DISTINCT dst) FROM con WHERE src = lost_table) AS n_direct FROM lp WHERE renamed_to IS NULL)""",
     "g01_trace": _TRACE.format(cond="transform IS DISTINCT FROM 'TEMP_INLINE'", reason=_REASON.format("e.")),
     "g01_trace_source_to_sink": _TRACE.format(cond="transform = 'TEMP_INLINE'", reason=_REASON.format("e.")),
     "g02_upstream": _HUB + _reach("x", "hub", "lineage_", "dst_key", "src_key", 8) + "SELECT node, depth FROM x",
