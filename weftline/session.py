@@ -57,8 +57,10 @@ def cut(df: DataFrame, tag: str = "t", where: str = "true") -> DataFrame:
     df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.expr(where)).alias("w")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path  # type: ignore[attr-defined]
-    out._weftline_rows = seen.get["n"]  # type: ignore[attr-defined]
-    out._weftline_where = seen.get["w"]  # type: ignore[attr-defined]
+    got = seen.get
+    if "n" not in got:  # a plan the optimiser emptied may bring no metrics
+        got = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(where)).alias("w")).first().asDict()
+    out._weftline_rows, out._weftline_where = got["n"], got["w"]  # type: ignore[attr-defined]
     return out
 
 
