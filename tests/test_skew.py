@@ -48,3 +48,16 @@ def test_hot_keys_are_few_and_hot(spark):
     df = spark.createDataFrame([("h",)] * 30_000 + [(f"k{i}",) for i in range(20_000)] + [(None,)] * 20_000, "k string")
     assert S.hot_keys(df, "k") == ["h"]
     assert S.hot_keys(spark.createDataFrame([], "k string"), "k") == []
+
+
+def test_tables_of_a_job_are_dropped(spark):
+    from pathlib import Path
+
+    from weftline.session import cut, drop_all, rows_where, rows_written, shared_dir
+
+    t = cut(spark.range(10), "x", "id > 3")
+    assert (rows_written(t), rows_where(t), t.count()) == (10, 6, 10)
+    here = Path(shared_dir(spark))
+    assert any(p.name.startswith("weftline-x-") for p in here.iterdir())
+    drop_all(spark)
+    assert not any(p.name.startswith("weftline-") for p in here.iterdir())

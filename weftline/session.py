@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+#: Tables made by cut() in this process that were not dropped yet.
+_MADE: set[str] = set()
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,6 +55,7 @@ def cut(df: DataFrame, tag: str = "t", where: str = "true") -> DataFrame:
     rows, and those that satisfy `where`, are counted on the way."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
+    _MADE.add(path)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.expr(where)).alias("w")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -80,14 +83,25 @@ def is_empty(df: DataFrame) -> bool:
     return rows_written(df) == 0 if hasattr(df, "_weftline_rows") else df.isEmpty()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.discard(path)
+
+
 def drop_cut(*dfs: DataFrame | None) -> None:
     """Delete tables made by cut() that nothing reads any more."""
     for df in dfs:
         path = getattr(df, "_weftline_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete all tables made by cut() in this process: for the end of a job,
+    when its results are written."""
+    for path in list(_MADE):
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
