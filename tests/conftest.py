@@ -14,10 +14,11 @@ DATA = Path(os.environ.get("TESTDATA_DIR", "/root/testdata/sf0.001"))
 
 @pytest.fixture(scope="session")
 def spark():
-    from weftline.session import local_session
+    from weftline.session import drop_all, local_session
 
     s = local_session(4, partitions=2, memory="4g")
     yield s
+    drop_all(s)
     s.stop()
 
 

@@ -53,11 +53,11 @@ def test_hot_keys_are_few_and_hot(spark):
 def test_tables_of_a_job_are_dropped(spark):
     from pathlib import Path
 
-    from weftline.session import cut, drop_all, rows_where, rows_written, shared_dir
+    from weftline.session import cut, drop_all, job_dir, rows_where, rows_written
 
     t = cut(spark.range(10), "x", "id > 3")
     assert (rows_written(t), rows_where(t), t.count()) == (10, 6, 10)
-    here = Path(shared_dir(spark))
-    assert any(p.name.startswith("weftline-x-") for p in here.iterdir())
+    here = Path(job_dir(spark).removeprefix("file:"))
+    assert any(p.name.startswith("x-") for p in here.iterdir())
     drop_all(spark)
-    assert not any(p.name.startswith("weftline-") for p in here.iterdir())
+    assert not here.exists()

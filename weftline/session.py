@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
-#: Tables made by cut() in this process that were not dropped yet.
-_MADE: set[str] = set()
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,13 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def job_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, tag: str = "t", where: str = "true") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the plan ends
     there, and a lost executor costs no recomputation of earlier rounds. Its
     rows, and those that satisfy `where`, are counted on the way."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
-    _MADE.add(path)
+    path = f"{job_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.expr(where)).alias("w")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -86,7 +88,6 @@ def is_empty(df: DataFrame) -> bool:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _MADE.discard(path)
 
 
 def drop_cut(*dfs: DataFrame | None) -> None:
@@ -98,10 +99,9 @@ def drop_cut(*dfs: DataFrame | None) -> None:
 
 
 def drop_all(spark: SparkSession) -> None:
-    """Delete all tables made by cut() in this process: for the end of a job,
-    when its results are written."""
-    for path in list(_MADE):
-        _delete(spark, path)
+    """Delete all tables made by cut() in this application: for the end of a
+    job, when its results are written."""
+    _delete(spark, job_dir(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
