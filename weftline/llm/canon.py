@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, lookup_join
-from ..session import cut
+from ..session import cut, ship
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -158,6 +158,7 @@ def _digest(texts) -> list[bytes | None]:
 def _keyed_texts(r: DataFrame) -> DataFrame:
     """(h, key, n): each distinct raw text's hash, statement key and row count.
     Byte-identical texts collapse first, before any text is tokenised."""
+    ship(r.sparkSession)
     raw = r.groupBy("text").agg(F.count(F.lit(1)).alias("n")).select("text", "n", F.md5(F.col("text").cast("binary")).alias("h"))
 
     def canon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

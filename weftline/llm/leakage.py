@@ -9,6 +9,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 if TYPE_CHECKING:
     import pandas as pd
 
@@ -143,6 +145,7 @@ def tile_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     has words. covered counts the item's words in tiles, whatever their order,
     so a reordered copy is covered as well."""
     spark, out = docs.sparkSession, None
+    ship(spark)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     for rows in blocks(items, item_id, item_text, block_words):
         sent = spark.sparkContext.broadcast(rows)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 if TYPE_CHECKING:
     import numpy as np
     import pandas as pd
@@ -44,6 +46,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
     keep = [f for f in docs.schema.fields if f.name not in (text, "n_tokens")]
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType())])
     names = [f.name for f in keep]
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = _counter(tokenizer)

@@ -10,7 +10,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut
+from ..session import cut, ship
 
 if TYPE_CHECKING:
     import numpy as np
@@ -239,6 +239,7 @@ def residue_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows without id are left out."""
     import numpy as np
 
+    ship(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     kind = d.schema["doc_id"].dataType.simpleString()
     prep = cut(d.mapInPandas(_prepare, f"doc_id {kind}, feats array<int>, ends array<int>, size array<int>, known array<int>"), "passages")
