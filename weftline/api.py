@@ -15,7 +15,7 @@ from .operators import passes as P
 from .plans import graph as G
 from .plans import metrics as H
 from .plans import named as N
-from .session import cut
+from .session import cut, ship
 from .sinks import store as K
 from .sources import files as S
 
@@ -29,6 +29,7 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, config: S.Config | None = None) -> None:
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or S.Config()
         self.store = K.GraphStore(spark, f"{self.path}/graph")
+        ship(spark)
 
     # ------------------------------------------------------------- writing
     def _files(self, root: str, name: str | None, tracked_only: bool) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dominant_causes, skip_counts
 from ..operators import merge as M
-from ..session import cut
+from ..session import cut, ship
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -30,6 +30,7 @@ def extract_files(files: DataFrame, aliases: dict[str, str] | None = None) -> Da
     reads, writes and derives. A file is parsed by one task, files are spread
     over all of them; a text the parser fails on gives one OTHER statement with
     a worker_error. Null texts give no rows."""
+    ship(files.sparkSession)
     f = files.select("path", "dialect", "content").where(F.col("path").isNotNull() & F.col("content").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

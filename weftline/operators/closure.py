@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, is_empty, rows_written
+from ..session import cut, drop_cut, is_empty, rows_written, ship
 
 #: Edges that one task may hold: a graph measured to have no more is walked in
 #: one go, as a small table is broadcast; a larger one level by level.
@@ -25,6 +25,7 @@ def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, sr
     e = cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where(F.col("_s").isNotNull() & F.col("_d").isNotNull()).distinct(), "edges")
     level = cut(start.select("node").where(F.col("node").isNotNull()).distinct().withColumn("depth", F.lit(0)), "level")
     if rows_written(e) + rows_written(level) <= local_edges:
+        ship(e.sparkSession)
         both = e.select("_s", "_d").unionByName(level.select(F.col("node").alias("_s"), F.lit(None).cast(e.schema["_d"].dataType).alias("_d")))
         out = both.repartition(1).mapInPandas(_walker(max_depth), f"node {e.schema['_s'].dataType.simpleString()}, depth int")
         return out if keep_start else out.where("depth > 0")
