@@ -112,7 +112,7 @@ class Engine:
     def info(self) -> DataFrame:
         return G.db_info(self.graph())
 
-    def trace(self, column: str, max_depth: int = 5, view: str = "structural") -> DataFrame:
+    def trace(self, column: str, max_depth: int | None = None, view: str = "structural") -> DataFrame:
         g = self.graph()
         return G.trace(g, self._column(g, column), max_depth, view)
 
@@ -124,7 +124,7 @@ class Engine:
         g = self.graph()
         return G.analyze(g, self._column(g, column), False, depth, None if all_kinds else ("table", "external"))
 
-    def dependents(self, column: str, max_depth: int = 10) -> DataFrame:
+    def dependents(self, column: str, max_depth: int | None = None) -> DataFrame:
         g = self.graph()
         return G.downstream_with_consumers(g, self._column(g, column), max_depth)
 

@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("trace", "upstream", "downstream", "dependents"):
         c = s.add_parser(name)
         c.add_argument("column")
-        c.add_argument("--depth", type=int, default=5)
+        c.add_argument("--depth", type=int, default=5 if name in ("upstream", "downstream") else None)
     for name in ("usages", "definition", "impact", "change-scope", "backfill-order"):
         s.add_parser(name).add_argument("table")
     s.add_parser("empty-impact").add_argument("tables", nargs="+")

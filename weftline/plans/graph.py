@@ -403,13 +403,13 @@ def _refs(g: Graph) -> DataFrame:
 
 
 QUERIES = {
-    "g01_trace": lambda s, d: (lambda g: trace(g, cut(_hub_cols(g), "seed"), 4))(load_graph(s, d)),
-    "g01_trace_source_to_sink": lambda s, d: (lambda g: trace(g, cut(_hub_cols(g), "seed"), 4, "source_to_sink"))(load_graph(s, d)),
-    "g02_upstream": lambda s, d: (lambda g: upstream(g, cut(_hub_cols(g), "seed"), 8))(load_graph(s, d)),
-    "g03_downstream_with_consumers": _with_seed(lambda g, t: downstream_with_consumers(g, _seed_cols(g, t), 8)),
+    "g01_trace": lambda s, d: (lambda g: trace(g, cut(_hub_cols(g), "seed")))(load_graph(s, d)),
+    "g01_trace_source_to_sink": lambda s, d: (lambda g: trace(g, cut(_hub_cols(g), "seed"), view="source_to_sink"))(load_graph(s, d)),
+    "g02_upstream": lambda s, d: (lambda g: upstream(g, cut(_hub_cols(g), "seed")))(load_graph(s, d)),
+    "g03_downstream_with_consumers": _with_seed(lambda g, t: downstream_with_consumers(g, _seed_cols(g, t))),
     "g04_closure": _with_seed(lambda g, t: downstream(g, _seed_cols(g, t))),
-    "g05_rollup": _with_seed(lambda g, t: rollup(g, downstream(g, _seed_cols(g, t), 8))),
-    "g06_split_synthetic": _with_seed(lambda g, t: split_synthetic(g, rollup(g, downstream(g, _seed_cols(g, t), 8)))),
+    "g05_rollup": _with_seed(lambda g, t: rollup(g, downstream(g, _seed_cols(g, t)))),
+    "g06_split_synthetic": _with_seed(lambda g, t: split_synthetic(g, rollup(g, downstream(g, _seed_cols(g, t))))),
     "g07_contracted_reads": _plan(lambda g: C.contract(N.reads_adjacency(g).select(F.col("source_table").alias("src"), F.col("dest_table").alias("dst")), _synthetic(g))),
     "g08_levels": _plan(lambda g: C.levels(N.reads_adjacency(g).select(F.explode(F.array("source_table", "dest_table")).alias("node")), N.reads_adjacency(g).select(F.col("source_table").alias("src"), F.col("dest_table").alias("dst")))),
     "g09_row_reachability": lambda s, d: (lambda g: row_reachability(g, cut(N.hub_ranking(g, 1).select("table_qualified"), "seed")))(load_graph(s, d)),
