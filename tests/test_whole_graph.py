@@ -55,6 +55,13 @@ def test_downstream_reaches_the_last_consumer(run):
     assert run("g06_split_synthetic", "table_qualified", "synthetic") == sorted([(t, t == "s.t10") for t, _, _ in tabs], key=repr)
 
 
+def test_a_diff_reaches_the_last_table(run):
+    assert run("g14_diff_impact") == sorted([(f"s.t{i}", i, int(i == N)) for i in range(N + 1) if i != 10], key=repr)
+    order = [f"s.t{i}" for i in range(1, N + 1) if i != 10]
+    assert run("g14_diff_order", "table_qualified", "level", "presentation") == sorted([(t, i, False) for i, t in enumerate(order)], key=repr)
+    assert run("g14_diff_gating") == []
+
+
 def test_the_engine_has_no_hop_limit_of_its_own(spark, tmp_path, monkeypatch):
     from weftline.api import Engine
 

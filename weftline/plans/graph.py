@@ -141,11 +141,33 @@ def find_definition(g: Graph, tables: DataFrame | None = None, backup: str = r"(
     return d.join(n, "table_qualified").select("table_qualified", "kind", "file_path", is_backup.alias("is_backup"), (~is_backup & (F.col("_n") == 1)).alias("authoritative"))
 
 
+def changed_tables(g: Graph, files: DataFrame) -> DataFrame:
+    """Tables that files define or write."""
+    own = N.tables_in_files(g, files).select("table_qualified").union(N.targets_of_files(g, files).select("table_qualified"))
+    return cut(own.distinct(), "own")
+
+
+def diff_order(g: Graph, files: DataFrame, presentation: tuple[str, ...] = ("mart.", "rpt.")) -> DataFrame:
+    """(table_qualified, level, in_cycle, presentation): the order in which to
+    rebuild the tables affected by a change of files, and which people read."""
+    own = changed_tables(g, files)
+    t = real_tables(g, rollup(g, downstream(g, columns_of(g, own)))).select("table_qualified").join(own, "table_qualified", "left_anti")
+    lv = C.levels(t.select(F.col("table_qualified").alias("node")), lineage_adjacency(g))
+    p = F.lit(False)
+    for x in presentation:
+        p = p | F.col("node").startswith(x)
+    return lv.select(F.col("node").alias("table_qualified"), "level", "in_cycle", p.alias("presentation"))
+
+
+def diff_gating(g: Graph, files: DataFrame) -> DataFrame:
+    """Tables that lose rows with those a change of files touches, by joins too."""
+    return row_reachability(g, changed_tables(g, files))
+
+
 def diff_impact(g: Graph, files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Tables affected by a change of files, those the files touch at depth 0,
     with external consumers counted."""
-    own = N.tables_in_files(g, files).select("table_qualified").union(N.targets_of_files(g, files).select("table_qualified")).distinct()
-    own = cut(own, "own")
+    own = changed_tables(g, files)
     hit = downstream(g, columns_of(g, own), max_depth)
     t = real_tables(g, rollup(g, hit)).join(own.select(F.col("table_qualified").alias("_t")), F.col("table_qualified") == F.col("_t"), "left_anti").select("table_qualified", "depth")
     t = own.select("table_qualified", F.lit(0).alias("depth")).unionByName(t)
@@ -417,7 +439,9 @@ QUERIES = {
     "g11_find_definition": _plan(find_definition),
     "g12_change_scope": _with_seed(lambda g, t: change_scope(g, t)),
     "g13_backfill_levels": _with_seed(lambda g, t: backfill_levels(g, t)),
-    "g14_diff_impact": lambda s, d: (lambda g: diff_impact(g, g["file"].where("parse_failed").select("path"), 3))(load_graph(s, d)),
+    "g14_diff_impact": lambda s, d: (lambda g: diff_impact(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d)),
+    "g14_diff_order": lambda s, d: (lambda g: diff_order(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d)),
+    "g14_diff_gating": lambda s, d: (lambda g: diff_gating(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d)),
     "g16_analyze_unused": _plan(analyze_unused),
     "g17_hub_without_noise": _plan(lambda g: N.hub_ranking(g, 10, g["sql_table"].where(X.is_noise(F.col("qualified"), ["*_code"])).select("qualified"))),
     "g18_empty_propagation": _with_seed(lambda g, t: empty_propagation(g, t)),
