@@ -53,3 +53,11 @@ def test_odd_rows(spark):
     got = [(r["doc_id"], r["kind"]) for r in R.residue_records(df).collect()]
     assert sorted(got, key=repr) == sorted([(1, None), (2, None), (3, None), (4, "placeholder"), (4, "placeholder"), (5, None), (6, None), (7, "residue")], key=repr)
     assert R.residue_records(df.limit(0)).collect() == []
+
+
+def test_headings_and_flattened_records(spark):
+    docs, _ = corpus()
+    flat = ["# 404 Not Found", "# raw.ledger_detail asdf asdf qwer asdf To be filled in later.", "# core.t_1 The table core.t_1 feeds 5 rows into the job every day."]
+    df = spark.createDataFrame(docs + [(2000 + i, t) for i, t in enumerate(flat)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["kind"], r["n_words"] > 0) for r in R.residue_records(df).where("doc_id >= 2000").collect()}
+    assert got == {2000: ("residue", True), 2001: ("residue", True), 2002: (None, True)}

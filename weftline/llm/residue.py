@@ -89,6 +89,10 @@ _FENCE = re.compile(r"(?m)^[^\w\n]*(```|~~~)[^\n]*\n.*?(?:^[^\w\n]*\1[^\n]*$|\Z)
 _QUOTED = re.compile(r"`+[^`\n]+`+|\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”")
 _SPLIT = re.compile(r"[\n\r]+|(?<=[.!?]) +")
 _LEAD = re.compile(r"^[\s\-*>#|0-9.)]*")
+_HEAD = re.compile(r"^\s*#+\s+")
+#: A table's name as a title, with text behind it on the same line.
+_TITLE = re.compile(r"^(\s*#\s+(?:[A-Za-z]\w*\.)+[A-Za-z]\w*)\s+(?=\w)")
+_INNER = re.compile(r"\s+(?=[A-Z])(?=(?i:" + "|".join(TRUSTED) + "))")
 _IDENT = re.compile(r"\b(?:[A-Za-z]\w*\.)+[A-Za-z]\w*\b|\b[A-Za-z]+_\w+\b")
 _WORD = re.compile(r"[^\W\d_]+|\d+|\x01|\x02|[|@#%{}<>\[\]]")
 
@@ -100,15 +104,21 @@ def visible(text: str) -> str:
 
 
 def passages(text: str | None) -> list[tuple[str, bool]]:
-    """(passage, is_heading) for each line and sentence outside code."""
+    """(passage, is_heading) for each line and sentence outside code; a title
+    whose line end was lost is set apart from what follows it."""
     out = []
-    for p in _SPLIT.split(visible(text or "")):
+    for p in (x for y in _SPLIT.split(visible(text or "")) for x in _unflatten(y)):
         body = _LEAD.sub("", p).strip()
         if body:
             out.append((p.strip(), p.lstrip().startswith("# ")))
     return out
 
 
+def _unflatten(line: str) -> list[str]:
+    m = _TITLE.match(line)
+    return [m[1], *_INNER.split(line[m.end() :])] if m else [line]
+
+
 def features(passage: str) -> tuple[list[int], int]:
     """Hashed words and word pairs, and how many words there are. Numbers,
     dotted or underscored names and placeholders count as kinds, not as words."""
@@ -124,6 +134,7 @@ def trusted(passage: str) -> int:
     known. A name of a table or column makes a passage prose about something."""
     if _PH.search(passage):
         return 2
+    passage = _HEAD.sub("", passage)
     body = _LEAD.sub("", passage) if not re.match(r"\s*[45]\d\d\b", passage) else passage.strip()
     if _IDENT.search(body):
         return 0
@@ -140,13 +151,13 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc, text in zip(b["doc_id"], b["text"]):
             feats, ends, size, known = [], [], [], []
-            for p, head in passages(text):
+            for p, _ in passages(text):
                 f, n = features(p)
                 if not n:
                     continue
                 feats += f
                 ends.append(len(feats))
-                size.append(0 if head else n)
+                size.append(n)
                 known.append(trusted(p))
             rows.append((doc, feats, ends, size, known))
         yield pd.DataFrame(rows, columns=["doc_id", "feats", "ends", "size", "known"])
@@ -265,7 +276,7 @@ def residue_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def residue_records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.25, rounds: int = ROUNDS) -> DataFrame:
     """residue_scores with `kind`: 'placeholder' if an unfilled placeholder is
-    left, else 'residue' if at least `least` of the words outside headings and
-    code are residue, else null."""
+    left, else 'residue' if at least `least` of the words outside code are
+    residue, else null."""
     s = residue_scores(docs, doc_id, text, rounds)
     return s.withColumn("kind", F.when(F.col("placeholders") > 0, "placeholder").when(F.col("share") >= least, "residue"))
