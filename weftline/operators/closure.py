@@ -5,79 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, is_empty, rows_written, ship
-
-#: Edges that one task may hold: a graph measured to have no more is walked in
-#: one go, as a small table is broadcast; a larger one level by level.
-LOCAL_EDGES = 500_000
-
-
-def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, src: str = "src_key", dst: str = "dst_key", keep_start: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
+from ..session import cut, drop_cut, is_empty, rows_where, rows_written
+from .skew import LEAST_HOT, hot_keys
+
+#: Hops of one round, that is between two written tables. Each is one shuffle of
+#: the nodes of the round; the edges are shuffled once a round.
+HOPS = 16
+#: Parts into which the edges of a hub node are split.
+PARTS = 32
+
+
+class _Edges:
+    """Edges (_s, _d) in the shared folder, ready for hops. The edges of a hub -
+    a node from which more than 1/200 of all edges start - are split by their
+    other end into PARTS parts, and the hub itself stands once for each part, so
+    no task gets all edges of a node."""
+
+    def __init__(self, edges: DataFrame, src: str, dst: str, least_hot: int = LEAST_HOT) -> None:
+        e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"))
+        self.all = cut(e.where(F.col("_s").isNotNull() & F.col("_d").isNotNull()).distinct(), "edges")
+        # fewer rows than make a key hot need no look
+        self.hot = hot_keys(self.all, "_s", least=least_hot) if rows_written(self.all) >= least_hot else []
+        is_hot = lambda c: F.col(c).isin(self.hot)
+        part = F.when(is_hot("_s"), F.pmod(F.hash("_d"), F.lit(PARTS))).otherwise(0) if self.hot else F.lit(0)
+        more = F.when(is_hot("_d"), F.lit(PARTS - 1)).otherwise(0) if self.hot else F.lit(0)
+        self.rows = self.all.select("_s", part.alias("_p"), "_d", more.alias("_m"))
+
+    def parted(self, nodes: DataFrame) -> DataFrame:
+        """nodes (column node) with a row for each of their parts."""
+        if not self.hot:
+            return nodes.withColumn("part", F.lit(0))
+        last = F.when(F.col("node").isin(self.hot), PARTS - 1).otherwise(0)
+        return nodes.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+
+    def hops(self, state: DataFrame, n: int, goes: str, kept: dict[str, str], sent: dict[str, str], folds: dict[str, str]) -> DataFrame:
+        """n hops from state (node, part, and the columns of folds), in SQL. In
+        a hop every row stays with its columns as `kept` says, a row for which
+        `goes` holds sends a row with the columns `sent` to each node behind it,
+        and rows of one node and part are folded. All hops have the same
+        expressions, so their code is compiled once."""
+        row = lambda node, part, cols: f"struct({node} AS node, {part} AS part, {', '.join(f'{cols[k]} AS {k}' for k in folds)})"
+        own, new = row("node", "part", kept), row("_d", "0", sent)
+        news = f"transform(sequence(0, _m), p -> {row('_d', 'p', sent)})" if self.hot else f"array({new})"
+        q = f"SELECT node, part, {', '.join(folds)} FROM {{state}}"
+        for _ in range(n):
+            step = f"SELECT inline(IF(_d IS NULL, array({own}), concat(array({own}), {news}))) FROM ({q}) LEFT JOIN {{edges}} ON node = _s AND part = _p AND {goes}"
+            q = f"SELECT node, part, {', '.join(f'{f} AS {k}' for k, f in folds.items())} FROM ({step}) GROUP BY node, part"
+        return self.all.sparkSession.sql(q, state=state, edges=self.rows)
+
+
+def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, src: str = "src_key", dst: str = "dst_key", keep_start: bool = False, hops: int = HOPS, least_hot: int = LEAST_HOT) -> DataFrame:
     """(node, depth): what can be reached from the start nodes (column `node`),
     with the least number of edges. Start nodes are at depth 0 and left out
     unless keep_start; a start node reached from another stays a start node.
 
-    One join and one anti-join per level, whatever the number of nodes in it; a
-    level is written to the shared folder, so a lost executor costs one level.
-    A graph of at most local_edges edges, start nodes included, is walked by one
-    task instead. Loops end because visited nodes are not taken again; null ends
-    lead nowhere."""
-    e = cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where(F.col("_s").isNotNull() & F.col("_d").isNotNull()).distinct(), "edges")
-    level = cut(start.select("node").where(F.col("node").isNotNull()).distinct().withColumn("depth", F.lit(0)), "level")
-    if rows_written(e) + rows_written(level) <= local_edges:
-        ship(e.sparkSession)
-        both = e.select("_s", "_d").unionByName(level.select(F.col("node").alias("_s"), F.lit(None).cast(e.schema["_d"].dataType).alias("_d")))
-        out = both.repartition(1).mapInPandas(_walker(max_depth), f"node {e.schema['_s'].dataType.simpleString()}, depth int")
-        return out if keep_start else out.where("depth > 0")
-    seen, parts, depth = level, [level], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = level.join(e, F.col("node") == F.col("_s")).select(F.col("_d").alias("node")).distinct()
-        new = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        level = cut(new, "level")
-        if is_empty(level):
-            break
-        parts.append(level)
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        if len(parts) % 12 == 0:  # keep the plan of the union short
-            whole = cut(seen, "seen")
-            drop_cut(*[p for p in parts if p is not level])
-            parts, seen = [whole], whole
-    out = seen
-    return out if keep_start else out.where("depth > 0")
-
-
-def _walker(max_depth: int | None):
-    """A function for mapInPandas over (_s, _d) in one partition: an edge, or a
-    start node where _d is null."""
-
-    def run(batches):
-        import pandas as pd
-
-        after: dict = {}
-        level: list = []
-        for b in batches:
-            for s, d in zip(b["_s"].tolist(), b["_d"].tolist()):
-                if d is None or d != d:
-                    level.append(s)
-                else:
-                    after.setdefault(s, []).append(d)
-        seen, depth = dict.fromkeys(level, 0), 0
-        level = list(seen)
-        while level and (max_depth is None or depth < max_depth):
-            depth += 1
-            nxt = []
-            for s in level:
-                for d in after.get(s, ()):
-                    if d not in seen:
-                        seen[d] = depth
-                        nxt.append(d)
-            level = nxt
-        yield pd.DataFrame({"node": pd.Series(list(seen), dtype=object), "depth": pd.Series(list(seen.values()), dtype="int32")})
-
-    return run
+    A round takes `hops` hops from the nodes reached last, one shuffle each, and
+    writes what was not seen before to the shared folder. So a lost executor
+    costs one round, and there are as many tables as the depth of the graph
+    divided by `hops`. Hub nodes are split. Loops end because nodes seen before
+    are not taken again; null ends lead nowhere."""
+    e = _Edges(edges, src, dst, least_hot)
+    first = start.select("node").where(F.col("node").isNotNull()).distinct()
+    # fresh rows were reached in the last hop
+    seen = cut(first.select("node", F.lit(0).alias("depth"), F.lit(1).alias("fresh")), "reached", "fresh = 1")
+    front, left = seen, max_depth
+    while rows_where(front) and (left is None or left > 0):
+        n = hops if left is None else min(hops, left)
+        s = e.hops(e.parted(front.where("fresh = 1")), n, "fresh = 1", {"depth": "depth", "fresh": "0"}, {"depth": "depth + 1", "fresh": "1"}, {"depth": "min(depth)", "fresh": "min(fresh)"})
+        left = None if left is None else left - n
+        # the parts of a hub carry the same depth
+        new = s.where("part = 0").join(seen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
+        front = cut(new.select("node", "depth", "fresh"), "reached", "fresh = 1")
+        seen = seen.unionByName(front)
+    seen = seen.select("node", "depth")
+    return seen if keep_start else seen.where("depth > 0")
 
 
 def contract(edges: DataFrame, synthetic: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -89,43 +90,55 @@ def contract(edges: DataFrame, synthetic: DataFrame, src: str = "src", dst: str
     syn = synthetic.select(F.col("node").alias("_n")).distinct()
     mark = lambda df, col: df.join(syn.withColumnRenamed("_n", "_m"), F.col(col) == F.col("_m"), "left").withColumn("is_syn", F.col("_m").isNotNull()).drop("_m")
     behind = cut(mark(e.join(syn, F.col("a") == F.col("_n"), "left_semi"), "b"), "behind")
-    first = mark(e.join(syn, F.col("a") == F.col("_n"), "left_anti"), "b")
-    paths = cut(first, "paths")
-    done = [paths.where("not is_syn").select("a", "b")]
-    open_, seen, nxt = paths.where("is_syn").select("a", "b"), paths.where("is_syn").select("a", "b"), paths
-    while not is_empty(nxt):
+    paths = cut(mark(e.join(syn, F.col("a") == F.col("_n"), "left_anti"), "b"), "paths", "is_syn")
+    parts = [paths]
+    while rows_where(parts[-1]):
+        seen = parts[0]
+        for p in parts[1:]:
+            seen = seen.unionByName(p)
+        open_ = parts[-1].where("is_syn").select("a", "b")
         nxt = open_.join(behind.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "is_syn"), F.col("b") == F.col("_a")).select("a", F.col("_b").alias("b"), "is_syn").distinct()
-        nxt = cut(nxt.join(seen, ["a", "b"], "left_anti"), "paths")
-        done.append(nxt.where("not is_syn").select("a", "b"))
-        open_ = nxt.where("is_syn").select("a", "b")
-        seen = seen.unionByName(open_)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.where("a <> b").distinct().select(F.col("a").alias(src), F.col("b").alias(dst))
+        parts.append(cut(nxt.join(seen.where("is_syn").select("a", "b"), ["a", "b"], "left_anti"), "paths", "is_syn"))
+        if len(parts) > 12:  # keep the plan of the union short
+            whole = seen.distinct()
+            parts = [cut(whole, "paths"), parts[-1]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("not is_syn and a <> b").select(F.col("a").alias(src), F.col("b").alias(dst)).distinct()
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, hops: int = HOPS, least_hot: int = LEAST_HOT) -> DataFrame:
     """(node, level, in_cycle): topological levels of nodes under edges (src,
     dst) between them: level 0 needs nothing, others come after all they need.
-    Nodes on a loop or behind one get no level (null) and in_cycle true."""
+    Nodes on a loop or behind one get no level (null) and in_cycle true.
+
+    Every node carries how many of its predecessors are still to come; in a hop
+    the nodes that wait for none take the next level and count one off at each
+    node behind them. A round is `hops` hops and one table of what still waits."""
     n = nodes.select("node").where(F.col("node").isNotNull()).distinct()
-    e = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    e = edges.where(F.col("src") != F.col("dst")).select("src", "dst")
     e = e.join(n.select(F.col("node").alias("src")), "src", "left_semi").join(n.select(F.col("node").alias("dst")), "dst", "left_semi")
-    rest, e, parts, k = cut(n, "rest"), cut(e, "order"), [], 0
-    while True:
-        ready = cut(rest.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(k)), "ready")
-        if is_empty(ready):
+    e = _Edges(e, "src", "dst", least_hot)
+    need = e.all.groupBy(F.col("_d").alias("node")).agg(F.count(F.lit(1)).alias("need"))
+    rest = e.parted(n.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).cast("long").alias("need"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("turn")))
+    rest = cut(rest, "waiting", "level IS NULL")
+    parts: list[DataFrame] = []
+    while rows_where(rest):
+        # `turn` is the level the next hop gives; it is the same in all rows
+        s = e.hops(
+            rest.where("level IS NULL"), hops, "need = 0 AND level IS NULL",
+            {"need": "need", "level": "IF(need = 0 AND level IS NULL, turn, level)", "turn": "turn + 1"}, {"need": "CAST(-1 AS BIGINT)", "level": "CAST(NULL AS INT)", "turn": "turn + 1"},
+            {"need": "sum(need)", "level": "max(level)", "turn": "max(turn)"},
+        )
+        old, rest = rest, cut(s, "waiting", "level IS NULL")
+        if rows_where(rest) == rows_where(old) and rest.where("level IS NOT NULL").isEmpty():
+            parts.append(rest)
             break
-        parts.append(ready)
-        old_r, old_e = rest, e
-        rest = cut(rest.join(ready.select("node"), "node", "left_anti"), "rest")
-        e = cut(e.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "order")
-        drop_cut(old_r, old_e)
-        k += 1
-    out = rest.select("node", F.lit(None).cast("int").alias("level"), F.lit(True).alias("in_cycle"))
+        parts.append(rest.where("level IS NOT NULL"))
+    out = n.select("node", F.lit(None).cast("int").alias("level"), F.lit(True).alias("in_cycle")).where(F.lit(False))
     for p in parts:
-        out = out.unionByName(p.select("node", "level", F.lit(False).alias("in_cycle")))
+        out = out.unionByName(p.where("part = 0").select("node", "level", F.col("level").isNull().alias("in_cycle")))
     return out
 
 

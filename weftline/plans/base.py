@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import pick
-from ..session import table
+from ..session import cut, table
 
 
 def table_of(col):
@@ -18,32 +18,39 @@ def name_of(col):
     return F.element_at(F.split(col, r"\."), -1)
 
 
-def load_graph(spark: SparkSession, d: str, texts: bool = False) -> dict[str, DataFrame]:
+#: Relations that questions of several steps read again and again.
+CORE = ("sql_table", "sql_column", "sql_query", "column_lineage")
+
+
+def load_graph(spark: SparkSession, d: str, texts: bool = False, settled: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """All relations, one row per key; statement texts only with texts, as a row
-    is picked and shuffled whole. Files are the current versions; tables,
-    columns, queries and edges the latest rows that are not deleted; what the
-    tables do not hold follows from them:
+    is picked and shuffled whole. Relations in `settled` (of CORE) are written to
+    the shared folder, so that they are picked once for all steps of a job.
+    Files are the current versions; tables, columns, queries and edges the
+    latest rows that are not deleted; what the tables do not hold follows from
+    them:
 
     has_column from sql_column, with a source by what defines the table;
     star_source from star edges; join_col_resolve from resolved join columns;
     defined_in, query_defined_in and belongs_to from the path columns; external
     consumers from views of the mart and rpt layers."""
     t = lambda n: table(spark, d, n)
+    keep = lambda n, df: cut(df, n) if n in settled else df
     g: dict[str, DataFrame] = {}
     g["repo"] = t("repo").dropDuplicates(["path"])
     f = t("src_file").where(F.col("path").isNotNull() & F.col("sha").isNotNull())
     g["file"] = pick(f.select("path", "indexed_at", "sha", "repo_path", "dialect", "parse_failed", "parse_cause"), ["path"], [F.col("indexed_at"), F.col("sha")]).drop("indexed_at")
     tab = t("sql_table").where(F.col("qualified").isNotNull())
-    g["sql_table"] = pick(tab, ["qualified"], [F.col("indexed_at"), F.col("kind")]).drop("indexed_at")
+    g["sql_table"] = keep("sql_table", pick(tab, ["qualified"], [F.col("indexed_at"), F.col("kind")]).drop("indexed_at"))
     c = t("sql_column").where(F.col("id").isNotNull())
-    g["sql_column"] = pick(c, ["id"], [F.col("indexed_at"), F.col("deleted_at").isNull()]).where(F.col("deleted_at").isNull()).drop("indexed_at", "deleted_at")
+    g["sql_column"] = keep("sql_column", pick(c, ["id"], [F.col("indexed_at"), F.col("deleted_at").isNull()]).where(F.col("deleted_at").isNull()).drop("indexed_at", "deleted_at"))
     q = t("sql_query").where(F.col("id").isNotNull())
     q = q if texts else q.drop("sql")
-    g["sql_query"] = pick(q, ["id"], [F.col("indexed_at"), F.col("deleted_at").isNull()]).where(F.col("deleted_at").isNull()).drop("indexed_at", "deleted_at")
+    g["sql_query"] = keep("sql_query", pick(q, ["id"], [F.col("indexed_at"), F.col("deleted_at").isNull()]).where(F.col("deleted_at").isNull()).drop("indexed_at", "deleted_at"))
     pair = F.col("src_key").isNotNull() & F.col("dst_key").isNotNull()
     g["selects_from"] = t("selects_from").where(pair).select("src_key", "dst_key").distinct()
     e = t("column_lineage").where(pair)
-    g["column_lineage"] = pick(e, ["src_key", "dst_key"], [F.col("indexed_at"), F.coalesce("transform", F.lit("")), F.coalesce("query_id", F.lit("")), F.coalesce("confidence", F.lit(0.0)), F.coalesce("inferred_from_source_name", F.lit(False))]).drop("indexed_at")
+    g["column_lineage"] = keep("column_lineage", pick(e, ["src_key", "dst_key"], [F.col("indexed_at"), F.coalesce("transform", F.lit("")), F.coalesce("query_id", F.lit("")), F.coalesce("confidence", F.lit(0.0)), F.coalesce("inferred_from_source_name", F.lit(False))]).drop("indexed_at"))
     by = g["sql_table"].select(F.col("qualified").alias("_q"), "kind", "defined_in_file")
     src = F.when(F.col("_q").isNull(), "usage").when(F.col("kind") == "view", "star_expansion").when(F.col("defined_in_file") != "", "ddl").otherwise("information_schema")
     g["has_column"] = g["sql_column"].select("id", "table_qualified").join(by, F.col("table_qualified") == F.col("_q"), "left").select(F.col("table_qualified").alias("src_key"), F.col("id").alias("dst_key"), src.alias("source"))

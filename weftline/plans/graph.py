@@ -12,7 +12,7 @@ from ..operators import closure as C
 from ..schema import SYNTHETIC
 from ..session import cut
 from . import named as N
-from .base import load_graph, sql, table_of
+from .base import CORE, load_graph, sql, table_of
 
 Graph = dict[str, DataFrame]
 
@@ -363,7 +363,7 @@ def _busiest(g: Graph) -> DataFrame:
 
 def _with_seed(f):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = {k: v for k, v in load_graph(spark, d).items()}
+        g = load_graph(spark, d, settled=CORE)
         return f(g, cut(_busiest(g), "seed"))
 
     return run
@@ -372,7 +372,7 @@ def _with_seed(f):
 def _states(spark: SparkSession, d: str) -> tuple[Graph, Graph]:
     """Two states: base has the queries first seen in the first half of the
     time, head those of the second half, as after a rewrite of everything."""
-    head = load_graph(spark, d)
+    head = load_graph(spark, d, settled=CORE)
     q = spark.read.parquet(f"{d}/sql_query.parquet").where(F.col("id").isNotNull())
     lo, hi = q.agg(F.min("indexed_at"), F.max("indexed_at")).first()
     half = F.lit(lo + (hi - lo) / 2 if lo else None)
@@ -434,14 +434,14 @@ QUERIES = {
     "g06_split_synthetic": _with_seed(lambda g, t: split_synthetic(g, rollup(g, downstream(g, _seed_cols(g, t))))),
     "g07_contracted_reads": _plan(lambda g: C.contract(N.reads_adjacency(g).select(F.col("source_table").alias("src"), F.col("dest_table").alias("dst")), _synthetic(g))),
     "g08_levels": _plan(lambda g: C.levels(N.reads_adjacency(g).select(F.explode(F.array("source_table", "dest_table")).alias("node")), N.reads_adjacency(g).select(F.col("source_table").alias("src"), F.col("dest_table").alias("dst")))),
-    "g09_row_reachability": lambda s, d: (lambda g: row_reachability(g, cut(N.hub_ranking(g, 1).select("table_qualified"), "seed")))(load_graph(s, d)),
+    "g09_row_reachability": lambda s, d: (lambda g: row_reachability(g, cut(N.hub_ranking(g, 1).select("table_qualified"), "seed")))(load_graph(s, d, settled=CORE)),
     "g10_find_usages": lambda s, d: find_usages(load_graph(s, d, texts=True)),
     "g11_find_definition": _plan(find_definition),
     "g12_change_scope": _with_seed(lambda g, t: change_scope(g, t)),
     "g13_backfill_levels": _with_seed(lambda g, t: backfill_levels(g, t)),
-    "g14_diff_impact": lambda s, d: (lambda g: diff_impact(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d)),
-    "g14_diff_order": lambda s, d: (lambda g: diff_order(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d)),
-    "g14_diff_gating": lambda s, d: (lambda g: diff_gating(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d)),
+    "g14_diff_impact": lambda s, d: (lambda g: diff_impact(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d, settled=CORE)),
+    "g14_diff_order": lambda s, d: (lambda g: diff_order(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d, settled=CORE)),
+    "g14_diff_gating": lambda s, d: (lambda g: diff_gating(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d, settled=CORE)),
     "g16_analyze_unused": _plan(analyze_unused),
     "g17_hub_without_noise": _plan(lambda g: N.hub_ranking(g, 10, g["sql_table"].where(X.is_noise(F.col("qualified"), ["*_code"])).select("qualified"))),
     "g18_empty_propagation": _with_seed(lambda g, t: empty_propagation(g, t)),
