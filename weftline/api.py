@@ -177,6 +177,13 @@ class Engine:
         """What the current graph lost against an earlier one (read before)."""
         return G.pr_impact(base, self.graph())
 
+    def pr_blast(self, base: Graph) -> DataFrame:
+        """The effects of all lost producers united."""
+        return G.pr_blast(base, self.graph())
+
+    def scope_lists(self, table: str) -> DataFrame:
+        return G.scope_lists(self.graph(), self._one(table, "table_qualified"))
+
     def unused(self) -> DataFrame:
         return G.analyze_unused(self.graph(), self.config.presentation or ("mart.", "rpt."))
 

@@ -28,9 +28,12 @@ def parser() -> argparse.ArgumentParser:
         c = s.add_parser(name)
         c.add_argument("column")
         c.add_argument("--depth", type=int, default=5 if name in ("upstream", "downstream") else None)
-    for name in ("usages", "definition", "impact", "change-scope", "backfill-order"):
+    for name in ("usages", "definition", "impact", "change-scope", "scope-lists", "backfill-order"):
         s.add_parser(name).add_argument("table")
     s.add_parser("empty-impact").add_argument("tables", nargs="+")
+    c = s.add_parser("pr-impact")
+    c.add_argument("base", help="folder of the graph before the change")
+    c.add_argument("--union", action="store_true", help="all effects united instead of one row per lost table")
     s.add_parser("diff-impact").add_argument("paths", nargs="+")
     c = s.add_parser("find")
     c.add_argument("what", choices=("table", "column", "pattern"))
@@ -49,7 +52,8 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
     run = {
         "index": lambda: e.index(a.root, a.name, a.sha, a.tracked_only), "refresh": lambda: e.refresh(a.root, a.name, a.sha, a.tracked_only), "info": e.info, "repos": e.repos, "unused": e.unused,
         "failures": e.failures, "coverage": e.coverage, "reset": e.reset, "trace": lambda: e.trace(a.column, a.depth), "upstream": lambda: e.upstream(a.column, a.depth), "downstream": lambda: e.downstream(a.column, a.depth),
-        "dependents": lambda: e.dependents(a.column, a.depth), "usages": lambda: e.usages(a.table), "definition": lambda: e.definition(a.table), "impact": lambda: e.impact(a.table), "change-scope": lambda: e.change_scope(a.table),
+        "dependents": lambda: e.dependents(a.column, a.depth), "usages": lambda: e.usages(a.table), "definition": lambda: e.definition(a.table), "impact": lambda: e.impact(a.table), "change-scope": lambda: e.change_scope(a.table), "scope-lists": lambda: e.scope_lists(a.table),
+        "pr-impact": lambda: (e.pr_blast if a.union else e.pr_impact)(Engine(e.spark, a.base).graph()),
         "backfill-order": lambda: e.backfill_order(a.table)[0], "empty-impact": lambda: e.empty_impact(a.tables), "diff-impact": lambda: e.diff_impact(a.paths), "find": lambda: e.find(a.what, a.text),
         "search": lambda: e.search(a.text), "hubs": lambda: e.hubs(a.k), "sql": lambda: e.sql(a.query), "catalog": lambda: e.load_catalog(a.csv), "page": lambda: open(a.out, "w").write(e.page()) and None,
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,26 +40,29 @@ class _Edges:
         last = F.when(F.col("node").isin(self.hot), PARTS - 1).otherwise(0)
         return nodes.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
 
-    def hops(self, state: DataFrame, n: int, goes: str, kept: dict[str, str], sent: dict[str, str], folds: dict[str, str]) -> DataFrame:
-        """n hops from state (node, part, and the columns of folds), in SQL. In
-        a hop every row stays with its columns as `kept` says, a row for which
-        `goes` holds sends a row with the columns `sent` to each node behind it,
-        and rows of one node and part are folded. All hops have the same
-        expressions, so their code is compiled once."""
-        row = lambda node, part, cols: f"struct({node} AS node, {part} AS part, {', '.join(f'{cols[k]} AS {k}' for k in folds)})"
+    def hops(self, state: DataFrame, n: int, goes: str, kept: dict[str, str], sent: dict[str, str], folds: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+        """n hops from state (node, part, `by`, and the columns of folds), in
+        SQL. In a hop every row stays with its columns as `kept` says, a row for
+        which `goes` holds sends a row with the columns `sent` to each node
+        behind it, and rows of one node and part (and equal `by`) are folded.
+        All hops have the same expressions."""
+        keys = ", ".join([*by, "node", "part"])
+        row = lambda node, part, cols: f"struct({', '.join([*by, f'{node} AS node', f'{part} AS part', *(f'{cols[k]} AS {k}' for k in folds)])})"
         own, new = row("node", "part", kept), row("_d", "0", sent)
         news = f"transform(sequence(0, _m), p -> {row('_d', 'p', sent)})" if self.hot else f"array({new})"
-        q = f"SELECT node, part, {', '.join(folds)} FROM {{state}}"
+        q = f"SELECT {keys}, {', '.join(folds)} FROM {{state}}"
         for _ in range(n):
             step = f"SELECT inline(IF(_d IS NULL, array({own}), concat(array({own}), {news}))) FROM ({q}) LEFT JOIN {{edges}} ON node = _s AND part = _p AND {goes}"
-            q = f"SELECT node, part, {', '.join(f'{f} AS {k}' for k, f in folds.items())} FROM ({step}) GROUP BY node, part"
+            q = f"SELECT {keys}, {', '.join(f'{f} AS {k}' for k, f in folds.items())} FROM ({step}) GROUP BY {keys}"
         return self.all.sparkSession.sql(q, state=state, edges=self.rows)
 
 
-def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, src: str = "src_key", dst: str = "dst_key", keep_start: bool = False, hops: int = HOPS, least_hot: int = LEAST_HOT) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, src: str = "src_key", dst: str = "dst_key", keep_start: bool = False, by: Sequence[str] = (), hops: int = HOPS, least_hot: int = LEAST_HOT) -> DataFrame:
     """(node, depth): what can be reached from the start nodes (column `node`),
     with the least number of edges. Start nodes are at depth 0 and left out
     unless keep_start; a start node reached from another stays a start node.
+    With `by` (columns of start) that holds for each of its values by itself,
+    and the result has these columns first.
 
     A round takes `hops` hops from the nodes reached last, one shuffle each, and
     writes what was not seen before to the shared folder. So a lost executor
@@ -65,19 +70,19 @@ def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, sr
     divided by `hops`. Hub nodes are split. Loops end because nodes seen before
     are not taken again; null ends lead nowhere."""
     e = _Edges(edges, src, dst, least_hot)
-    first = start.select("node").where(F.col("node").isNotNull()).distinct()
+    first = start.select(*by, "node").where(F.col("node").isNotNull()).distinct()
     # fresh rows were reached in the last hop
-    seen = cut(first.select("node", F.lit(0).alias("depth"), F.lit(1).alias("fresh")), "reached", "fresh = 1")
+    seen = cut(first.select(*by, "node", F.lit(0).alias("depth"), F.lit(1).alias("fresh")), "reached", "fresh = 1")
     front, left = seen, max_depth
     while rows_where(front) and (left is None or left > 0):
         n = hops if left is None else min(hops, left)
-        s = e.hops(e.parted(front.where("fresh = 1")), n, "fresh = 1", {"depth": "depth", "fresh": "0"}, {"depth": "depth + 1", "fresh": "1"}, {"depth": "min(depth)", "fresh": "min(fresh)"})
+        s = e.hops(e.parted(front.where("fresh = 1")), n, "fresh = 1", {"depth": "depth", "fresh": "0"}, {"depth": "depth + 1", "fresh": "1"}, {"depth": "min(depth)", "fresh": "min(fresh)"}, by)
         left = None if left is None else left - n
         # the parts of a hub carry the same depth
-        new = s.where("part = 0").join(seen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
-        front = cut(new.select("node", "depth", "fresh"), "reached", "fresh = 1")
+        new = s.where("part = 0").drop("part")
+        front = cut(new.join(seen.select(*by, "node"), [*by, "node"], "left_anti").select(*seen.columns), "reached", "fresh = 1")
         seen = seen.unionByName(front)
-    seen = seen.select("node", "depth")
+    seen = seen.drop("fresh")
     return seen if keep_start else seen.where("depth > 0")
 
 

@@ -82,14 +82,34 @@ def _synthetic(g: Graph) -> DataFrame:
     return g["sql_table"].where(F.col("kind").isin(*SYNTHETIC)).select(F.col("qualified").alias("node"))
 
 
-def change_scope(g: Graph, tables: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """One row: what a change of tables affects, with a risk label."""
+def scope_lists(g: Graph, tables: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(what, name): all that a change of tables touches. what is 'file' (where
+    they are defined or written), 'upstream' (tables they are written from),
+    'column' and 'table' (made from them, noise and synthetic tables left out),
+    or 'gating_join' (tables that lose rows with them, through reads and joins,
+    also without a column of theirs)."""
+    src = tables.select(F.col(tables.columns[0]).alias("_t"))
     hit = cut(downstream(g, columns_of(g, tables), max_depth), "hit")
-    t = real_tables(g, rollup(g, hit)).join(tables.select(F.col(tables.columns[0]).alias("_t")), F.col("table_qualified") == F.col("_t"), "left_anti")
-    up = N.direct_upstreams(g, tables).agg(F.count_distinct("upstream_table").alias("n_upstreams"))
-    files = N.defining_files(g, tables).select("file_path").union(N.producer_files(g, tables).select("file_path")).agg(F.count_distinct("file_path").alias("n_files"))
-    a = t.agg(F.count(F.lit(1)).alias("n_tables"), F.coalesce(F.sum("n_columns"), F.lit(0)).alias("n_columns"))
-    return a.join(up).join(files).withColumn("risk", X.risk_label(F.col("n_tables")))
+    owner = g["sql_column"].select(F.col("id").alias("node"), "table_qualified")
+    cols = real_tables(g, hit.join(owner, "node")).join(src, F.col("table_qualified") == F.col("_t"), "left_anti")
+    cols = cut(cols.select("node", "table_qualified"), "affected")
+    files = N.defining_files(g, tables).select("file_path").union(N.producer_files(g, tables).select("file_path"))
+    up = N.direct_upstreams(g, tables).select(F.col("upstream_table").alias("table_qualified"))
+    up = up.where(~X.is_noise(F.col("table_qualified")))
+    gate = real_tables(g, row_reachability(g, tables), noise=False)
+    parts = {"file": files, "upstream": up, "column": cols.select("node"), "table": cols.select("table_qualified"), "gating_join": gate.select("table_qualified")}
+    out = None
+    for what, df in parts.items():
+        one = df.select(F.lit(what).alias("what"), F.col(df.columns[0]).alias("name")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def change_scope(g: Graph, tables: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """One row: how much of each kind scope_lists() has, with a risk label."""
+    n = lambda k: F.count(F.when(F.col("what") == k, F.lit(1)))
+    a = scope_lists(g, tables, max_depth).agg(n("table").alias("n_tables"), n("column").alias("n_columns"), n("upstream").alias("n_upstreams"), n("file").alias("n_files"), n("gating_join").alias("n_gating"))
+    return a.withColumn("risk", X.risk_label(F.col("n_tables")))
 
 
 def backfill_levels(g: Graph, tables: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -110,19 +130,53 @@ def row_reachability(g: Graph, tables: DataFrame, max_depth: int | None = None)
     return C.closure(e, start, max_depth, src="src", dst="dst").select(F.col("node").alias("table_qualified"), "depth")
 
 
+def empty_by_source(g: Graph, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """What becomes empty with each of sources (one column) by itself: source,
+    table_qualified, value_state ('full' when all its known columns are
+    affected, 'partial', or null when it only loses rows), row_empty. A source
+    is not reported as its own effect."""
+    src = sources.select(F.col(sources.columns[0]).alias("source")).where(F.col("source").isNotNull()).distinct()
+    start = N.columns_of(g, src).select(F.col("table_qualified").alias("source"), F.col("col_id").alias("node"))
+    hit = cut(C.closure(g["column_lineage"], start, max_depth, by=["source"]), "hit")
+    owner = g["sql_column"].select(F.col("id").alias("node"), "table_qualified")
+    val = real_tables(g, hit.join(owner, "node").select("source", "table_qualified").distinct()).where("source <> table_qualified")
+    # a table's columns and those of them that are hit, counted and compared
+    hc = g["has_column"].select(F.col("src_key").alias("table_qualified"), F.col("dst_key").alias("node"))
+    have = hc.groupBy("table_qualified").agg(F.count(F.lit(1)).alias("have"))
+    got = hit.join(hc, "node").groupBy("source", "table_qualified").agg(F.count(F.lit(1)).alias("got"))
+    val = val.join(have, "table_qualified", "left").join(got, ["source", "table_qualified"], "left")
+    val = cut(val.select("source", "table_qualified", F.when(F.coalesce(F.col("have") == F.col("got"), F.lit(False)), "full").otherwise("partial").alias("value_state")), "values")
+    e = C.contract(N.reads_adjacency(g).select(F.col("source_table").alias("src"), F.col("dest_table").alias("dst")), _synthetic(g))
+    rows = C.closure(e, src.select("source", F.col("source").alias("node")), max_depth, src="src", dst="dst", by=["source"])
+    rows = real_tables(g, rows.select("source", F.col("node").alias("table_qualified")))
+    every = rows.unionByName(val.select("source", "table_qualified")).distinct()
+    return every.join(val, ["source", "table_qualified"], "left").select("source", "table_qualified", "value_state", F.lit(True).alias("row_empty"))
+
+
 def empty_propagation(g: Graph, tables: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """What becomes empty with tables: table_qualified, value_state ('full' when
-    all its known columns are affected, 'partial', or null), row_empty."""
+    """What becomes empty with tables taken together: table_qualified,
+    value_state ('full' when all its known columns are affected, 'partial', or
+    null), row_empty."""
     src = tables.select(F.col(tables.columns[0]).alias("_src")).distinct()
     hit = cut(downstream(g, columns_of(g, tables), max_depth), "hit")
     val = real_tables(g, rollup(g, hit)).join(src, F.col("table_qualified") == F.col("_src"), "left_anti")
-    hc = g["has_column"].select(F.col("src_key").alias("table_qualified"), F.col("dst_key").alias("node")).join(val.select("table_qualified"), "table_qualified", "left_semi")
-    cover = hc.join(hit.select("node", F.lit(True).alias("hit")), "node", "left").groupBy("table_qualified").agg(F.min(F.coalesce("hit", F.lit(False))).alias("all_hit"))
-    val = val.join(cover, "table_qualified", "left").select("table_qualified", F.when(F.coalesce("all_hit", F.lit(False)), "full").otherwise("partial").alias("value_state"))
+    hc = g["has_column"].select(F.col("src_key").alias("table_qualified"), F.col("dst_key").alias("node"))
+    have = hc.groupBy("table_qualified").agg(F.count(F.lit(1)).alias("have"))
+    got = hit.join(hc, "node").groupBy("table_qualified").agg(F.count(F.lit(1)).alias("got"))
+    val = val.join(have, "table_qualified", "left").join(got, "table_qualified", "left")
+    val = cut(val.select("table_qualified", F.when(F.coalesce(F.col("have") == F.col("got"), F.lit(False)), "full").otherwise("partial").alias("value_state")), "values")
     rows = real_tables(g, row_reachability(g, tables, max_depth)).select("table_qualified").unionByName(val.select("table_qualified")).distinct()
     return rows.join(val, "table_qualified", "left").select("table_qualified", "value_state", F.lit(True).alias("row_empty"))
 
 
+def propagation_order(g: Graph, tables: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(table_qualified, level, in_cycle) of what empty_propagation() names: the
+    order in which the loss travels."""
+    hit = empty_propagation(g, tables, max_depth).select(F.col("table_qualified").alias("node"))
+    lv = C.levels(hit, lineage_adjacency(g))
+    return lv.select(F.col("node").alias("table_qualified"), "level", "in_cycle")
+
+
 def find_usages(g: Graph, names: DataFrame | None = None) -> DataFrame:
     """Queries that use a table: read directly, else by lineage or a star."""
     a = N.table_usages(g, names).select("name", "file", "sql", "kind").distinct().withColumn("how", F.lit("direct"))
@@ -237,16 +291,36 @@ def lost_producers(base: Graph, head: Graph, least: float = 0.6) -> DataFrame:
     return lost.join(taken, F.col("t") == F.col("left"), "left").select(F.col("t").alias("lost_table"), F.col("right").alias("renamed_to"))
 
 
+def _lost(base: Graph, head: Graph) -> DataFrame:
+    return cut(lost_producers(base, head).where("renamed_to is null").select(F.col("lost_table").alias("table_qualified")), "lost")
+
+
 def pr_impact(base: Graph, head: Graph, max_depth: int | None = None) -> DataFrame:
-    """Per genuinely lost producer the file that wrote it and how many tables
-    its emptiness reaches in base, with a risk label."""
-    lost = cut(lost_producers(base, head).where("renamed_to is null").select(F.col("lost_table").alias("table_qualified")), "lost")
+    """Per genuinely lost producer, by empty propagation on the base graph: the
+    first file that wrote it and how many did, the tables whose rows or values
+    it takes along, those of them that lose all and some of their columns'
+    values, and the risk by all tables reached."""
+    lost = _lost(base, head)
     files = N.producer_files(base, lost).groupBy("table_qualified").agg(F.min("file_path").alias("file_path"), F.count(F.lit(1)).alias("n_files"))
-    e = C.contract(N.reads_adjacency(base).select(F.col("source_table").alias("src"), F.col("dest_table").alias("dst")), _synthetic(base))
-    direct = e.join(lost.select(F.col("table_qualified").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("table_qualified")).agg(F.count(F.lit(1)).alias("n_direct"))
-    out = lost.join(files, "table_qualified", "left").join(direct, "table_qualified", "left")
-    n = F.coalesce("n_direct", F.lit(0))
-    return out.select("table_qualified", "file_path", F.coalesce("n_files", F.lit(0)).alias("n_files"), n.alias("n_direct"), X.risk_label(n).alias("risk"))
+    n = lambda c: F.count(F.when(c, F.lit(1)))
+    hit = empty_by_source(base, lost, max_depth).groupBy(F.col("source").alias("table_qualified")).agg(
+        F.count(F.lit(1)).alias("n_tables"), n(F.col("value_state") == "full").alias("n_full"), n(F.col("value_state") == "partial").alias("n_partial")
+    )
+    out = lost.join(files, "table_qualified", "left").join(hit, "table_qualified", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_files", "n_tables", "n_full", "n_partial")]
+    return out.select("table_qualified", "file_path", *zero).withColumn("risk", X.risk_label(F.col("n_tables")))
+
+
+def pr_blast(base: Graph, head: Graph, max_depth: int | None = None) -> DataFrame:
+    """The effects of all genuinely lost producers united: per table how many of
+    them reach it, whether one takes all (fully) or some (partially) of its
+    columns' values along, and its place in the order in which the loss travels."""
+    hit = empty_by_source(base, _lost(base, head), max_depth).groupBy("table_qualified").agg(
+        F.count(F.lit(1)).alias("n_lost"), F.max(F.coalesce(F.col("value_state") == "full", F.lit(False))).alias("fully"), F.max(F.coalesce(F.col("value_state") == "partial", F.lit(False))).alias("partially")
+    )
+    hit = cut(hit, "blast")
+    lv = C.levels(hit.select(F.col("table_qualified").alias("node")), lineage_adjacency(base))
+    return hit.join(lv.withColumnRenamed("node", "table_qualified"), "table_qualified")
 
 
 # ------------------------------------------------------------------- the rest
@@ -444,10 +518,13 @@ QUERIES = {
     "g14_diff_gating": lambda s, d: (lambda g: diff_gating(g, g["file"].where("parse_failed").select("path")))(load_graph(s, d, settled=CORE)),
     "g16_analyze_unused": _plan(analyze_unused),
     "g17_hub_without_noise": _plan(lambda g: N.hub_ranking(g, 10, g["sql_table"].where(X.is_noise(F.col("qualified"), ["*_code"])).select("qualified"))),
+    "g12_scope_lists": _with_seed(lambda g, t: scope_lists(g, t)),
+    "g18_propagation_order": _with_seed(lambda g, t: propagation_order(g, t)),
     "g18_empty_propagation": _with_seed(lambda g, t: empty_propagation(g, t)),
     "g19_producer_diff": lambda s, d: producer_diff(*_states(s, d)),
     "g19_lost_producers": lambda s, d: lost_producers(*_states(s, d)),
     "g20_pr_impact": lambda s, d: pr_impact(*_states(s, d)),
+    "g20_pr_blast": lambda s, d: pr_blast(*_states(s, d)),
     "g25_db_info": _plan(db_info),
     "g26_execute_sql": lambda s, d: execute_sql(s, load_graph(s, d, texts=True), "SELECT kind, count(*) AS n FROM sql_table GROUP BY kind"),
     "g29_analyze_downstream": _with_seed(lambda g, t: analyze(g, _seed_cols(g, t), False)),
@@ -473,13 +550,12 @@ _SEED = f""", seed AS (SELECT table_qualified FROM (SELECT {_T.format('src_key')
 _HUB = ", hub AS (SELECT dst_key AS node FROM (SELECT dst_key, count(*) n FROM lineage_ GROUP BY 1) ORDER BY n DESC, dst_key LIMIT 1)\n"
 
 
-def _reach(name: str, start: str, edges: str, src: str, dst: str, depth: int | None) -> str:
+def _reach(name: str, start: str, edges: str, src: str, dst: str, depth: int | None = None) -> str:
+    """name(node, depth): least distances of what is reached, start nodes left
+    out; name_r has them as well."""
     lim = f" AND r.depth < {depth}" if depth else ""
-    if depth:
-        rec = f"{name}_r AS (SELECT node, 0 AS depth FROM {start} UNION SELECT e.{dst}, r.depth + 1 FROM {name}_r r JOIN {edges} e ON e.{src} = r.node WHERE true{lim})"
-        return f", {rec}, {name} AS (SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM {name}_r GROUP BY node HAVING min(depth) > 0)\n"
-    rec = f"{name}_r AS (SELECT node FROM {start} UNION SELECT e.{dst} FROM {name}_r r JOIN {edges} e ON e.{src} = r.node)"
-    return f", {rec}, {name} AS (SELECT node FROM {name}_r WHERE node NOT IN (SELECT node FROM {start}))\n"
+    new = f"SELECT e.{dst}, min(r.depth + 1) FROM {name}_r r JOIN {edges} e ON e.{src} = r.node WHERE NOT EXISTS (SELECT 1 FROM recurring.{name}_r q WHERE q.node = e.{dst}){lim} GROUP BY e.{dst}"
+    return f", {name}_r(node, depth) USING KEY (node) AS (SELECT DISTINCT node, 0 AS depth FROM {start} UNION {new}), {name} AS (SELECT node, CAST(depth AS INTEGER) AS depth FROM {name}_r WHERE depth > 0)\n"
 
 
 _NOISE = "regexp_matches(CASE WHEN contains({0}, '::') THEN string_split({0}, '::')[-1] ELSE string_split({0}, '.')[-1] END, '^(.*_bck|.*_bck_.*|.*_backup|.*_backup_[0-9].*)$')"
@@ -491,11 +567,11 @@ _CONTR = """, te AS (SELECT DISTINCT {a} AS a, {b} AS b FROM {rel} WHERE {a} <>
  con AS (SELECT DISTINCT a AS src, b AS dst FROM walk WHERE b NOT IN (SELECT node FROM syn) AND a <> b)\n"""
 _READCON = N._READS + _SYN + _CONTR.format(a="source_table", b="dest_table", rel="reads_adj")
 _ADJ = """, tadj AS (SELECT DISTINCT s.table_qualified AS u, d.table_qualified AS v FROM lineage_ cl JOIN column_ s ON s.id = cl.src_key JOIN column_ d ON d.id = cl.dst_key WHERE s.table_qualified <> d.table_qualified)\n"""
-_X_ALL = _SEED + ", x0 AS (SELECT 1)" + _reach("x1", "scol", "le", "src_key", "dst_key", None) + ", x AS (SELECT node, 0 AS depth FROM x1)" + _ROLL + _REALS
-_TRACE = _HUB + ", te AS (SELECT * FROM lineage_ WHERE {cond})" + _reach("x", "hub", "te", "dst_key", "src_key", 4) + """
+_X_ALL = _SEED + _reach("x", "scol", "le", "src_key", "dst_key") + _ROLL + _REALS
+_TRACE = _HUB + ", te AS (SELECT * FROM lineage_ WHERE {cond})" + _reach("x", "hub", "te", "dst_key", "src_key") + """
 SELECT e.src_key, e.dst_key, CAST(r.depth + 1 AS INTEGER) AS depth, e.transform, e.confidence, q.file_path AS file, q.start_line AS line,
  CASE WHEN e.confidence IS NULL OR e.confidence >= 1.0 THEN 'fact' ELSE 'heuristic' END AS assertion, {reason} AS reason
-FROM (SELECT node, min(depth) AS depth FROM x_r GROUP BY 1) r JOIN te e ON e.dst_key = r.node LEFT JOIN query_ q ON q.id = e.query_id WHERE r.depth < 4"""
+FROM x_r r JOIN te e ON e.dst_key = r.node LEFT JOIN query_ q ON q.id = e.query_id"""
 _REASON = """CASE WHEN {0}confidence IS NULL OR {0}confidence >= 1.0 THEN NULL WHEN {0}transform = 'STAR_EXPANSION' AND round({0}confidence, 1) = 0.8 THEN 'star-expansion: columns inferred from source table schema'
  WHEN {0}transform = 'UNKNOWN' AND round({0}confidence, 1) = 0.5 THEN 'column not found in resolved schema' WHEN {0}transform IS NULL AND round({0}confidence, 1) = 0.3 THEN 'scripting-block fallback: column lineage approximate'
  WHEN {0}transform = 'UNKNOWN' AND round({0}confidence, 1) = 0.0 THEN 'lineage extraction failed at index time' ELSE printf('inferred edge (confidence=%.2f)', {0}confidence) END"""
@@ -527,23 +603,47 @@ _STATES = """, f AS (SELECT id, arg_min(target_table, (indexed_at, target_table,
  gr AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS t, CAST(NULL AS VARCHAR) AS n, CAST([] AS VARCHAR[]) AS taken
   UNION ALL SELECT o.k, o.t, z.n, CASE WHEN z.n IS NULL THEN gr.taken ELSE list_append(gr.taken, z.n) END FROM gr JOIN ord o ON o.k = gr.k + 1, LATERAL (SELECT min(c.n) AS n FROM cand c WHERE c.l = o.t AND NOT list_contains(gr.taken, c.n)) z),
  lp AS (SELECT t AS lost_table, n AS renamed_to FROM gr WHERE k > 0)\n"""
+_SCOPE = _X_ALL + _reach("y", "(SELECT table_qualified AS node FROM seed)", "con", "src", "dst") + f""", scope_ AS (
+ SELECT 'file' AS what, d.dst_key AS name FROM defined_ d JOIN file_ f ON f.path = d.dst_key JOIN table_ t ON t.qualified = d.src_key WHERE d.src_key IN (SELECT table_qualified FROM seed)
+ UNION SELECT 'file', q.file_path FROM query_ q JOIN file_ f ON f.path = q.file_path WHERE q.target_table IN (SELECT table_qualified FROM seed)
+ UNION SELECT 'upstream', sf.dst_key FROM query_ q JOIN reads_ sf ON sf.src_key = q.id JOIN table_ t ON t.qualified = sf.dst_key WHERE q.target_table IN (SELECT table_qualified FROM seed) AND sf.dst_key <> q.target_table AND NOT {_NOISE.format('sf.dst_key')}
+ UNION SELECT 'column', x.node FROM x JOIN column_ c ON c.id = x.node JOIN realt r ON r.table_qualified = c.table_qualified WHERE r.table_qualified NOT IN (SELECT table_qualified FROM seed)
+ UNION SELECT 'table', table_qualified FROM realt WHERE table_qualified NOT IN (SELECT table_qualified FROM seed)
+ UNION SELECT 'gating_join', node FROM y WHERE node NOT IN (SELECT node FROM syn))\n"""
+# what each lost table takes along: s its name, t the table, state of its values
+_BLAST = f""", sc AS (SELECT lp.lost_table AS s, c.id AS node FROM lp JOIN table_ t ON t.qualified = lp.lost_table JOIN has_ h ON h.src_key = t.qualified JOIN column_ c ON c.id = h.dst_key WHERE lp.renamed_to IS NULL),
+ le AS (SELECT DISTINCT src_key, dst_key FROM lineage_),
+ ch AS (SELECT s, node FROM sc UNION SELECT ch.s, le.dst_key FROM ch JOIN le ON le.src_key = ch.node),
+ hitc AS (SELECT s, node FROM ch EXCEPT SELECT s, node FROM sc),
+ hc AS (SELECT src_key AS t, count(*) AS n FROM has_ GROUP BY 1), gc AS (SELECT x.s, h.src_key AS t, count(*) AS n FROM hitc x JOIN has_ h ON h.dst_key = x.node GROUP BY 1, 2),
+ vt AS (SELECT DISTINCT x.s, c.table_qualified AS t FROM hitc x JOIN column_ c ON c.id = x.node WHERE c.table_qualified <> x.s),
+ va AS (SELECT vt.s, vt.t, CASE WHEN hc.n = gc.n THEN 'full' ELSE 'partial' END AS state FROM vt LEFT JOIN hc ON hc.t = vt.t LEFT JOIN gc ON gc.s = vt.s AND gc.t = vt.t
+  WHERE vt.t NOT IN (SELECT node FROM syn) AND NOT {_NOISE.format('vt.t')}),
+ rc AS (SELECT lost_table AS s, lost_table AS t FROM lp WHERE renamed_to IS NULL UNION SELECT rc.s, con.dst FROM rc JOIN con ON con.src = rc.t),
+ eff AS (SELECT a.s, a.t, va.state FROM (SELECT s, t FROM rc WHERE s <> t AND t NOT IN (SELECT node FROM syn) AND NOT {_NOISE.format('t')} UNION SELECT s, t FROM va) a LEFT JOIN va ON va.s = a.s AND va.t = a.t)\n"""
 
 ORACLE = {k: sql(v) for k, v in {
     "g08_levels": N._READS + ", nd AS (SELECT source_table AS node FROM reads_adj UNION SELECT dest_table FROM reads_adj), re AS (SELECT source_table AS src, dest_table AS dst FROM reads_adj)" + _LEVELS.format(edges="re", nodes="nd") + "SELECT * FROM lvl",
     "g13_backfill_levels": _X_ALL + _ADJ + _SYN + _CONTR.format(a="u", b="v", rel="tadj") + ", nd AS (SELECT table_qualified AS node FROM realt UNION SELECT table_qualified FROM seed)" + _LEVELS.format(edges="con", nodes="nd") + "SELECT node AS table_qualified, level, in_cycle FROM lvl",
     "g19_lost_producers": _STATES + "SELECT * FROM lp",
-    "g20_pr_impact": _STATES + _SYN + _CONTR.format(a="s", b="d", rel="ba") + """
-SELECT table_qualified, file_path, n_files, n_direct, CASE WHEN n_direct = 0 THEN 'safe' WHEN n_direct <= 5 THEN 'low' WHEN n_direct <= 20 THEN 'medium' ELSE 'high' END AS risk FROM (SELECT lost_table AS table_qualified,
+    "g20_pr_impact": _STATES + _SYN + _CONTR.format(a="s", b="d", rel="ba") + _BLAST + """
+SELECT table_qualified, file_path, n_files, n_tables, n_full, n_partial, CASE WHEN n_tables = 0 THEN 'safe' WHEN n_tables <= 5 THEN 'low' WHEN n_tables <= 20 THEN 'medium' ELSE 'high' END AS risk FROM (SELECT lost_table AS table_qualified,
  (SELECT min(bq.p) FROM bq JOIN file_ ON file_.path = bq.p WHERE bq.t = lost_table) AS file_path, (SELECT count(DISTINCT bq.p) FROM bq JOIN file_ ON file_.path = bq.p WHERE bq.t = lost_table) AS n_files,
- (SELECT count(DISTINCT dst) FROM con WHERE src = lost_table) AS n_direct FROM lp WHERE renamed_to IS NULL)""",
+ coalesce(z.n, 0) AS n_tables, coalesce(z.f, 0) AS n_full, coalesce(z.p, 0) AS n_partial FROM lp LEFT JOIN
+ (SELECT s, count(*) AS n, count(*) FILTER (state = 'full') AS f, count(*) FILTER (state = 'partial') AS p FROM eff GROUP BY s) z ON z.s = lost_table WHERE renamed_to IS NULL)""",
+    "g20_pr_blast": _STATES + _SYN + _CONTR.format(a="s", b="d", rel="ba") + _BLAST + _ADJ + """, te2 AS (SELECT DISTINCT u AS a, v AS b FROM tadj WHERE u <> v),
+ walk2 AS (SELECT a, b FROM te2 WHERE a NOT IN (SELECT node FROM syn) UNION SELECT w.a, te2.b FROM walk2 w JOIN te2 ON te2.a = w.b WHERE w.b IN (SELECT node FROM syn)),
+ con2 AS (SELECT DISTINCT a AS src, b AS dst FROM walk2 WHERE b NOT IN (SELECT node FROM syn) AND a <> b), nd AS (SELECT DISTINCT t AS node FROM eff)""" + _LEVELS.format(edges="con2", nodes="nd") + """
+SELECT e.t AS table_qualified, count(*) AS n_lost, bool_or(coalesce(state = 'full', false)) AS fully, bool_or(coalesce(state = 'partial', false)) AS partially, any_value(l.level) AS level, any_value(l.in_cycle) AS in_cycle
+FROM eff e JOIN lvl l ON l.node = e.t GROUP BY e.t""",
     "g01_trace": _TRACE.format(cond="transform IS DISTINCT FROM 'TEMP_INLINE'", reason=_REASON.format("e.")),
     "g01_trace_source_to_sink": _TRACE.format(cond="transform = 'TEMP_INLINE'", reason=_REASON.format("e.")),
-    "g02_upstream": _HUB + _reach("x", "hub", "lineage_", "dst_key", "src_key", 8) + "SELECT node, depth FROM x",
-    "g03_downstream_with_consumers": _SEED + _reach("x", "scol", "le", "src_key", "dst_key", 8) + """
+    "g02_upstream": _HUB + _reach("x", "hub", "lineage_", "dst_key", "src_key") + "SELECT node, depth FROM x",
+    "g03_downstream_with_consumers": _SEED + _reach("x", "scol", "le", "src_key", "dst_key") + """
 SELECT node, depth, 'column' AS what FROM x UNION ALL
 SELECT e.name, CAST(min(x.depth) + 1 AS INTEGER), 'consumer' FROM x JOIN column_ c ON c.id = x.node JOIN consumed_ k ON k.src_key = c.table_qualified JOIN table_ t ON t.qualified = c.table_qualified JOIN consumer_ e ON e.name = k.dst_key GROUP BY 1""",
-    "g05_rollup": _SEED + _reach("x", "scol", "le", "src_key", "dst_key", 8) + _ROLL + "SELECT * FROM roll",
-    "g06_split_synthetic": _SEED + _reach("x", "scol", "le", "src_key", "dst_key", 8) + _ROLL + "SELECT r.*, EXISTS (SELECT 1 FROM table_ t WHERE t.qualified = r.table_qualified AND t.kind IN ('cte','derived','temp')) AS synthetic FROM roll r",
+    "g05_rollup": _SEED + _reach("x", "scol", "le", "src_key", "dst_key") + _ROLL + "SELECT * FROM roll",
+    "g06_split_synthetic": _SEED + _reach("x", "scol", "le", "src_key", "dst_key") + _ROLL + "SELECT r.*, EXISTS (SELECT 1 FROM table_ t WHERE t.qualified = r.table_qualified AND t.kind IN ('cte','derived','temp')) AS synthetic FROM roll r",
     "g07_contracted_reads": _READCON + "SELECT * FROM con",
     "g10_find_usages": N._QF + """, a AS (SELECT DISTINCT t.name, qf.file, q.sql, q.kind FROM table_ t JOIN reads_ sf ON sf.dst_key = t.qualified JOIN query_ q ON q.id = sf.src_key JOIN qf ON qf.qid = q.id),
  b AS (SELECT DISTINCT t.name, qf.file, q.sql, q.kind FROM table_ t JOIN column_ c ON c.table_qualified = t.qualified JOIN lineage_ cl ON cl.src_key = c.id JOIN query_ q ON q.id = cl.query_id JOIN qf ON qf.qid = q.id
@@ -556,18 +656,23 @@ SELECT *, 'direct' AS how FROM a UNION ALL SELECT *, 'via_lineage' FROM b WHERE
  AND NOT EXISTS (SELECT 1 FROM reads_ r WHERE r.dst_key = t.qualified) AND NOT EXISTS (SELECT 1 FROM star_ s WHERE s.dst_key = t.qualified)
  AND NOT EXISTS (SELECT 1 FROM lineage_ cl JOIN column_ c ON c.id = cl.src_key WHERE c.table_qualified = t.qualified)""",
     "g17_hub_without_noise": N._HUBS + "SELECT *, CAST(row_number() OVER (ORDER BY downstream_dependents DESC, table_qualified) AS INTEGER) AS rank FROM h WHERE NOT regexp_matches(string_split(table_qualified, '.')[-1], '^.*_code$') ORDER BY downstream_dependents DESC, table_qualified LIMIT 10",
-    "g04_closure": _SEED + _reach("x", "scol", "le", "src_key", "dst_key", 99) + "SELECT node, depth FROM x",
-    "g09_row_reachability": _READCON + N._HUBS + _reach("y", "(SELECT table_qualified AS node FROM h ORDER BY downstream_dependents DESC, table_qualified LIMIT 1)", "con", "src", "dst", 60) + "SELECT node AS table_qualified, depth FROM y",
-    "g12_change_scope": _X_ALL + """, aff AS (SELECT * FROM realt WHERE table_qualified NOT IN (SELECT table_qualified FROM seed))
-SELECT n_tables, n_columns, n_upstreams, n_files, CASE WHEN n_tables = 0 THEN 'safe' WHEN n_tables <= 5 THEN 'low' WHEN n_tables <= 20 THEN 'medium' ELSE 'high' END AS risk FROM (SELECT
- (SELECT count(*) FROM aff) AS n_tables, (SELECT CAST(coalesce(sum(n_columns), 0) AS BIGINT) FROM aff) AS n_columns,
- (SELECT count(DISTINCT sf.dst_key) FROM query_ q JOIN reads_ sf ON sf.src_key = q.id JOIN table_ t ON t.qualified = sf.dst_key WHERE q.target_table IN (SELECT table_qualified FROM seed) AND sf.dst_key <> q.target_table) AS n_upstreams,
- (SELECT count(*) FROM (SELECT d.dst_key FROM defined_ d JOIN file_ f ON f.path = d.dst_key JOIN table_ t ON t.qualified = d.src_key WHERE d.src_key IN (SELECT table_qualified FROM seed)
-  UNION SELECT q.file_path FROM query_ q JOIN file_ f ON f.path = q.file_path WHERE q.target_table IN (SELECT table_qualified FROM seed))) AS n_files)""",
-    "g14_diff_impact": _DIFF + _reach("x", "scol", "le", "src_key", "dst_key", 3) + _ROLL + _REALS + """
+    "g04_closure": _SEED + _reach("x", "scol", "le", "src_key", "dst_key") + "SELECT node, depth FROM x",
+    "g09_row_reachability": _READCON + N._HUBS + _reach("y", "(SELECT table_qualified AS node FROM h ORDER BY downstream_dependents DESC, table_qualified LIMIT 1)", "con", "src", "dst") + "SELECT node AS table_qualified, depth FROM y",
+    "g12_change_scope": _READCON + _SCOPE + """
+SELECT n_tables, n_columns, n_upstreams, n_files, n_gating, CASE WHEN n_tables = 0 THEN 'safe' WHEN n_tables <= 5 THEN 'low' WHEN n_tables <= 20 THEN 'medium' ELSE 'high' END AS risk FROM (SELECT count(*) FILTER (what = 'table') AS n_tables,
+ count(*) FILTER (what = 'column') AS n_columns, count(*) FILTER (what = 'upstream') AS n_upstreams, count(*) FILTER (what = 'file') AS n_files, count(*) FILTER (what = 'gating_join') AS n_gating FROM scope_)""",
+    "g12_scope_lists": _READCON + _SCOPE + "SELECT * FROM scope_",
+    "g14_diff_order": _DIFF + _reach("x", "scol", "le", "src_key", "dst_key") + _ROLL + _REALS + _SYN + _ADJ + _CONTR.format(a="u", b="v", rel="tadj") + """, nd AS (SELECT table_qualified AS node FROM realt WHERE table_qualified NOT IN (SELECT table_qualified FROM own))"""
+    + _LEVELS.format(edges="con", nodes="nd") + "SELECT node AS table_qualified, level, in_cycle, starts_with(node, 'mart.') OR starts_with(node, 'rpt.') AS presentation FROM lvl",
+    "g14_diff_gating": _READCON + _DIFF + _reach("y", "(SELECT table_qualified AS node FROM own)", "con", "src", "dst") + "SELECT node AS table_qualified, depth FROM y",
+    "g18_propagation_order": _READCON + _X_ALL + _reach("y", "(SELECT table_qualified AS node FROM seed)", "con", "src", "dst") + f""", nd AS (SELECT node FROM y WHERE node NOT IN (SELECT node FROM syn) AND NOT {_NOISE.format('node')}
+ UNION SELECT table_qualified FROM realt WHERE table_qualified NOT IN (SELECT table_qualified FROM seed))""" + _ADJ + """, te2 AS (SELECT DISTINCT u AS a, v AS b FROM tadj WHERE u <> v),
+ walk2 AS (SELECT a, b FROM te2 WHERE a NOT IN (SELECT node FROM syn) UNION SELECT w.a, te2.b FROM walk2 w JOIN te2 ON te2.a = w.b WHERE w.b IN (SELECT node FROM syn)),
+ con2 AS (SELECT DISTINCT a AS src, b AS dst FROM walk2 WHERE b NOT IN (SELECT node FROM syn) AND a <> b)""" + _LEVELS.format(edges="con2", nodes="nd") + "SELECT node AS table_qualified, level, in_cycle FROM lvl",
+    "g14_diff_impact": _DIFF + _reach("x", "scol", "le", "src_key", "dst_key") + _ROLL + _REALS + """
 SELECT z.table_qualified, CAST(z.depth AS INTEGER) AS depth, (SELECT count(*) FROM consumed_ k JOIN table_ t ON t.qualified = k.src_key WHERE k.src_key = z.table_qualified) AS n_consumers
 FROM (SELECT table_qualified, 0 AS depth FROM own UNION ALL SELECT table_qualified, depth FROM realt WHERE table_qualified NOT IN (SELECT table_qualified FROM own)) z""",
-    "g18_empty_propagation": _READCON + _X_ALL + _reach("y", "(SELECT table_qualified AS node FROM seed)", "con", "src", "dst", None) + f""", val AS (SELECT r.table_qualified,
+    "g18_empty_propagation": _READCON + _X_ALL + _reach("y", "(SELECT table_qualified AS node FROM seed)", "con", "src", "dst") + f""", val AS (SELECT r.table_qualified,
  CASE WHEN (SELECT bool_and(EXISTS (SELECT 1 FROM x WHERE x.node = h.dst_key)) FROM has_ h WHERE h.src_key = r.table_qualified) THEN 'full' ELSE 'partial' END AS value_state FROM realt r WHERE r.table_qualified NOT IN (SELECT table_qualified FROM seed)),
  allt AS (SELECT node AS table_qualified FROM y WHERE node NOT IN (SELECT node FROM syn) AND NOT {_NOISE.format('node')} UNION SELECT table_qualified FROM val)
 SELECT allt.table_qualified, val.value_state, true AS row_empty FROM allt LEFT JOIN val USING (table_qualified)""",
