@@ -115,7 +115,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_records(table(spark, d, "documents"))
+    """Every record's scores, and whether the lists that the model learns from
+    hold a passage of it."""
+    return residue.residue_records(table(spark, d, "documents"), listed=True)
 
 
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,12 @@
-"""Template residue, filler and error pages: positive-unlabelled naive Bayes."""
+"""Template residue, filler and error pages: positive-unlabelled naive Bayes.
+
+Passages are lines and sentences outside code and quotations, and, for every
+unfilled placeholder, the slot it stands in: the placeholder with the word on
+either side. Trusted passages - slots, and passages that begin with the words of
+a known error, notice or filler - are positive, all others unlabelled;
+expectation-maximization fits the words of both kinds on a bounded sample. The
+fitted model alone then decides on every passage of every record: the lists say
+what it learns from, not what is found."""
 
 from __future__ import annotations
 
@@ -10,7 +18,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import ship
 
 if TYPE_CHECKING:
     import numpy as np
@@ -19,6 +27,11 @@ if TYPE_CHECKING:
 #: Feature buckets of the model: its size on the driver and in each task.
 BUCKETS = 1 << 16
 ROUNDS = 6
+#: Bound of what the model is fitted on: about so many characters of documents
+#: taken by a hash of their id. Of a document longer than a hundredth of it so
+#: many passages, spread over its whole length, are taken. All documents are
+#: scored, as a whole.
+SAMPLE_CHARS = 16_000_000
 
 # Delimiters of placeholders, with what may stand between them.
 _NAME = r"[A-Za-z][A-Za-z0-9_]*"
@@ -84,141 +97,211 @@ TRUSTED = [
 ]
 
 _PH = re.compile("|".join(PLACEHOLDERS))
+#: A sign without which no placeholder can be there.
+_PH_SIGN = re.compile(r"[{<\[$%#@«(]|__")
 _TRUSTED = re.compile("(?:" + "|".join(TRUSTED) + ")", re.I)
 _FENCE = re.compile(r"(?m)^[^\w\n]*(```|~~~)[^\n]*\n.*?(?:^[^\w\n]*\1[^\n]*$|\Z)", re.S)
 _QUOTED = re.compile(r"`+[^`\n]+`+|\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”")
-_SPLIT = re.compile(r"[\n\r]+|(?<=[.!?]) +")
-_LEAD = re.compile(r"^[\s\-*>#|0-9.)]*")
-_HEAD = re.compile(r"^\s*#+\s+")
-#: A table's name as a title, with text behind it on the same line.
-_TITLE = re.compile(r"^(\s*#\s+(?:[A-Za-z]\w*\.)+[A-Za-z]\w*)\s+(?=\w)")
-_INNER = re.compile(r"\s+(?=[A-Z])(?=(?i:" + "|".join(TRUSTED) + "))")
 _IDENT = re.compile(r"\b(?:[A-Za-z]\w*\.)+[A-Za-z]\w*\b|\b[A-Za-z]+_\w+\b")
+#: A name as a title, with text behind it on the same line.
+_TITLE = re.compile(r"(?m)^(\W*#\s+\x02)[ \t]+(?=\w)")
+_BREAK = r"[\n\r]+|(?<=[.!?]) +"
+_SPLIT = re.compile(_BREAK)
 _WORD = re.compile(r"[^\W\d_]+|\d+|\x01|\x02|[|@#%{}<>\[\]]")
+_TOKEN = re.compile(_WORD.pattern + "|" + _BREAK)
+_LEAD = re.compile(r"^[\s\-*>#|0-9.)]*")
 
 
 def visible(text: str) -> str:
     """The text without code and quotations, in which placeholders and error
-    messages are talked about, not left over."""
-    return _QUOTED.sub(" \x02 ", _FENCE.sub("\n", text))
-
-
-def passages(text: str | None) -> list[tuple[str, bool]]:
-    """(passage, is_heading) for each line and sentence outside code; a title
-    whose line end was lost is set apart from what follows it."""
-    out = []
-    for p in (x for y in _SPLIT.split(visible(text or "")) for x in _unflatten(y)):
-        body = _LEAD.sub("", p).strip()
-        if body:
-            out.append((p.strip(), p.lstrip().startswith("# ")))
-    return out
-
-
-def _unflatten(line: str) -> list[str]:
-    m = _TITLE.match(line)
-    return [m[1], *_INNER.split(line[m.end() :])] if m else [line]
-
-
-def features(passage: str) -> tuple[list[int], int]:
-    """Hashed words and word pairs, and how many words there are. Numbers,
-    dotted or underscored names and placeholders count as kinds, not as words."""
-    s = _IDENT.sub("\x02", _PH.sub("\x01", passage))
-    w = ["0" if x[0].isdigit() else x.lower() for x in _WORD.findall(s)]
-    crc = zlib.crc32
-    f = [crc(x.encode()) % BUCKETS for x in w] + [crc(f"{a} {b}".encode()) % BUCKETS for a, b in zip(w, w[1:])]
-    return f, len(w)
-
-
-def trusted(passage: str) -> int:
-    """2: an unfilled placeholder; 1: an error, notice or filler passage; 0: not
-    known. A name of a table or column makes a passage prose about something."""
-    if _PH.search(passage):
-        return 2
-    passage = _HEAD.sub("", passage)
-    body = _LEAD.sub("", passage) if not re.match(r"\s*[45]\d\d\b", passage) else passage.strip()
-    if _IDENT.search(body):
-        return 0
-    if _TRUSTED.match(body):
-        return 1
+    messages are talked about, not left over. Placeholders become \\x01; names
+    with dots or underscores, and quotations, \\x02."""
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    if "`" in text or '"' in text or "“" in text:
+        text = _QUOTED.sub(" \x02 ", text)
+    if _PH_SIGN.search(text):
+        text = _PH.sub("\x01", text)
+    return _TITLE.sub(r"\1\n", _IDENT.sub("\x02", text))
+
+
+def passages(text: str | None) -> list[str]:
+    """Lines and sentences of the visible text that hold a word."""
+    return [p for p in _SPLIT.split(visible(text or "")) if _WORD.search(p)]
+
+
+def trusted(passage: str, known: re.Pattern = _TRUSTED) -> bool:
+    """Whether a passage is an error, notice or filler by the lists. A name of a
+    table or column makes it prose about something."""
+    if "\x02" in passage:
+        return False
+    body = passage.strip() if re.match(r"\W*[45]\d\d\b", passage) else _LEAD.sub("", passage)
+    if known.match(body.lstrip(" -*>#|")):
+        return True
     w = [x.lower() for x in _WORD.findall(body) if x[0].isalpha()]
-    return int(len(w) >= 3 and sum(x in FILLER_WORDS for x in w) >= 0.8 * len(w))
+    return len(w) >= 3 and sum(x in FILLER_WORDS for x in w) >= 0.8 * len(w)
 
 
-def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pandas as pd
+class _Codes(dict):
+    """Token -> 32-bit code; numbers are one word, breaks are 0."""
+
+    def __missing__(self, t: str) -> int:
+        c = t[0]
+        if c in "\n\r ":
+            code = 0
+        elif c.isdigit():
+            code = zlib.crc32(b"0")
+        else:
+            code = zlib.crc32(t.encode("utf-8", "surrogatepass")) or 1
+        if len(self) < 300_000:
+            self[t] = code
+        return code
+
+
+_CODES = _Codes()
+_HOLE = zlib.crc32(b"\x01")
+
 
-    for b in batches:
-        rows = []
-        for doc, text in zip(b["doc_id"], b["text"]):
-            feats, ends, size, known = [], [], [], []
-            for p, _ in passages(text):
-                f, n = features(p)
-                if not n:
-                    continue
-                feats += f
-                ends.append(len(feats))
-                size.append(n)
-                known.append(trusted(p))
-            rows.append((doc, feats, ends, size, known))
-        yield pd.DataFrame(rows, columns=["doc_id", "feats", "ends", "size", "known"])
-
-
-def _posteriors(b: pd.DataFrame, llr: np.ndarray, prior: float, inner: int = 4):
-    """Of all passages of a batch: document number, probability of residue,
-    features, feature counts, words, known; and of each document its share of
-    residue. A document mixes both kinds in a share of its own, with a Beta
-    prior of two passages at the corpus rate; share and probabilities are
-    brought into line by a few inner rounds."""
+def encode(texts: list[str | None]):
+    """Passages of texts as numbers: doc (which text each is of), slot (whether
+    it is the slot of a placeholder), size (its words), feats (hashed words and
+    word pairs of all passages, one after the other) and owner (the passage of
+    each feature). Placeholders count in their slots only."""
     import numpy as np
 
-    n = len(b)
-    per = np.array([len(e) for e in b["ends"]], dtype=np.int64)
-    doc = np.repeat(np.arange(n), per)
-    feats = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["feats"]]) if n else np.zeros(0, np.int64)
-    cnt = np.concatenate([np.diff(np.asarray(e, dtype=np.int64), prepend=0) for e in b["ends"]]) if n else np.zeros(0, np.int64)
-    size = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["size"]]) if n else np.zeros(0, np.int64)
-    known = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["known"]]) if n else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(cnt)), cnt)
-    score = np.bincount(owner, weights=llr[feats], minlength=len(cnt))
-    # word pairs repeat what words say: the sum is tempered
-    score = np.clip(score * 0.5, -30, 30)
-    share = np.full(n, prior)
-    for _ in range(inner):
-        s = np.clip(share[doc], 1e-6, 1 - 1e-6)
-        p = 1 / (1 + np.exp(-(score + np.log(s / (1 - s)))))
-        p[known > 0] = 1.0
-        # a placeholder says nothing about the passages beside it
-        share = (2 * prior + np.bincount(doc, weights=np.where(known == 2, 0.0, p), minlength=n)) / (2 + per)
-    return doc, p, owner, feats, size, known, share
-
-
-def _counts(llr: np.ndarray, prior: float, first: bool):
+    get, codes, lens = _CODES.__getitem__, [], []
+    for t in texts:
+        if t:
+            c = list(map(get, _TOKEN.findall(visible(t).lower())))
+            c.append(0)
+        else:
+            c = [0]
+        codes += c
+        lens.append(len(c))
+    c = np.array(codes, dtype=np.uint64)
+    n = len(c)
+    text_of = np.repeat(np.arange(len(texts)), lens)
+    stop, hole = c == 0, c == _HOLE
+    seg = np.cumsum(stop) - stop  # the segment each token belongs to; its break closes it
+    word = ~stop & ~hole
+    size = np.bincount(seg, weights=word, minlength=int(seg[-1]) + 1 if n else 0).astype(np.int64)
+    doc_of_seg = text_of[np.flatnonzero(stop)] if n else np.zeros(0, np.int64)
+    used = size > 0
+    number = np.cumsum(used) - 1
+    bucket = lambda a: (a % BUCKETS).astype(np.int64)
+    pair = lambda a, b: bucket((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40))
+    at = np.flatnonzero(word)
+    two = np.flatnonzero(word[:-1] & word[1:]) if n else at
+    holes = np.flatnonzero(hole)
+    first = int(used.sum())
+    slot_id = first + np.arange(len(holes))
+    before = holes[(holes > 0) & ~stop[holes - 1]] if len(holes) else holes
+    after = holes[~stop[holes + 1]] if len(holes) else holes
+    rank = {int(h): i for i, h in enumerate(holes)}
+    of = lambda hs: np.array([first + rank[int(h)] for h in hs], dtype=np.int64)
+    feats = [bucket(c[at]), pair(c[two], c[two + 1]), bucket(c[holes]), pair(c[before - 1], c[before]), pair(c[after], c[after + 1])]
+    owner = [number[seg[at]], number[seg[two]], slot_id, of(before), of(after)]
+    doc = np.concatenate([doc_of_seg[used], text_of[holes]])
+    slot = np.concatenate([np.zeros(first, bool), np.ones(len(holes), bool)])
+    return doc, slot, np.concatenate([size[used], np.zeros(len(holes), np.int64)]), np.concatenate(feats), np.concatenate(owner)
+
+
+def _thinned(text: str, most: int) -> str:
+    """text, or passages of it of about `most` characters in all."""
+    if len(text) <= most:
+        return text
+    part = most / len(text) * (1 << 32)
+    return "\n".join(p for i, p in enumerate(passages(text)) if i * 2654435761 % (1 << 32) < part)
+
+
+def _sampled(known: re.Pattern, most: int):
+    """For mapInPandas over texts: their encoded passages, a row per batch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
-        pos, neg, tot = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(2)
         for b in batches:
-            if not len(b):
+            texts = [_thinned(t, most) for t in b["text"] if t]
+            if not texts:
                 continue
-            doc, p, owner, feats, _, known, _ = _posteriors(b, llr, prior)
-            if first:
-                # what stands in one document with trusted errors or filler
-                # starts at their share of it, everything else as content
-                per = np.bincount(doc, minlength=len(b))
-                share = np.bincount(doc, weights=known == 1, minlength=len(b)) / np.maximum(per, 1)
-                p = np.where(known > 0, 1.0, share[doc])
-            w = p[owner]
-            pos += np.bincount(feats, weights=w, minlength=BUCKETS)
-            neg += np.bincount(feats, weights=1 - w, minlength=BUCKETS)
-            tot += (p.sum(), len(p))
-        on = np.flatnonzero(pos + neg)
-        yield pd.DataFrame({"bucket": np.append(on, -1).astype("int32"), "pos": np.append(pos[on], tot[0]), "neg": np.append(neg[on], tot[1] - tot[0])})
+            doc, slot, _, feats, owner = encode(texts)
+            sure = slot.copy()
+            marks = [trusted(p, known) for t in texts for p in passages(t) if any(x != "\x01" for x in _WORD.findall(p))]
+            sure[: len(marks)] = marks
+            raw = [x.astype(k).tobytes() for x, k in ((doc, np.int32), (slot, np.int8), (sure, np.int8), (feats, np.int32), (owner, np.int32))]
+            yield pd.DataFrame([raw], columns=["doc", "slot", "sure", "feats", "owner"])
 
     return run
 
 
-def _decide(llr: np.ndarray, prior: float):
+class Model:
+    """Log-likelihood ratios of the features and the share of residue passages."""
+
+    def __init__(self, llr: np.ndarray, prior: float) -> None:
+        self.llr, self.prior = llr, prior
+
+    def posteriors(self, n: int, doc, slot, feats, owner, inner: int = 4):
+        """Of each passage the probability that it is residue. A document mixes
+        both kinds in a share of its own, with a Beta prior of two passages at
+        the corpus rate; share and probabilities are brought into line by a few
+        inner rounds. A slot has even odds to begin with, and says nothing about
+        the passages beside it."""
+        import numpy as np
+
+        # word pairs repeat what words say: the sum is tempered
+        score = np.clip(np.bincount(owner, weights=self.llr[feats], minlength=len(doc)) * 0.5, -30, 30)
+        per = np.bincount(doc[~slot], minlength=n)
+        share = np.full(n, self.prior)
+        p = np.zeros(len(doc))
+        for _ in range(inner):
+            s = np.clip(np.where(slot, 0.5, share[doc]), 1e-6, 1 - 1e-6)
+            p = 1 / (1 + np.exp(-(score + np.log(s / (1 - s)))))
+            share = (2 * self.prior + np.bincount(doc, weights=np.where(slot, 0.0, p), minlength=n)) / (2 + per)
+        return p
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, sample_chars: int = SAMPLE_CHARS, known: re.Pattern = _TRUSTED) -> Model:
+    """The model from a bounded sample of docs (doc_id, text); `known` says which
+    passages are trusted. Its size does not grow with the corpus."""
+    import numpy as np
+
+    ship(docs.sparkSession)
+    most = max(1, sample_chars // 100)
+    total = docs.agg(F.sum(F.least(F.length("text"), F.lit(most)))).first()[0] or 0
+    part = min(1.0, sample_chars / total) if total else 0.0
+    pick = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    got = pick.select("text").mapInPandas(_sampled(known, most), "doc binary, slot binary, sure binary, feats binary, owner binary").collect()
+    llr, prior = np.zeros(BUCKETS), 0.01
+    if not got:
+        return Model(llr, prior)
+    cols, n, m = [[] for _ in range(5)], 0, 0
+    for r in got:
+        x = [np.frombuffer(b, k) for b, k in zip(r, (np.int32, np.int8, np.int8, np.int32, np.int32))]
+        for i, v in enumerate((x[0] + n, x[1] > 0, x[2] > 0, x[3], x[4] + m)):
+            cols[i].append(v)
+        n += int(x[0].max(initial=-1)) + 1
+        m += len(x[0])
+    doc, slot, sure, feats, owner = map(np.concatenate, cols)
+    per = np.maximum(np.bincount(doc[~slot], minlength=n), 1)
+    for k in range(rounds):
+        if k:
+            p = Model(llr, prior).posteriors(n, doc, slot, feats, owner)
+        else:
+            # what stands in one document with trusted errors or filler starts at
+            # their share of it, everything else as content
+            p = (np.bincount(doc, weights=sure & ~slot, minlength=n) / per)[doc]
+        p = np.where(sure, 1.0, p)
+        w = p[owner]
+        pos, neg = np.bincount(feats, weights=w, minlength=BUCKETS), np.bincount(feats, weights=1 - w, minlength=BUCKETS)
+        prior = min(0.5, max(1e-4, float(p[~slot].mean()) if (~slot).any() else 0.01))
+        a, used = 0.5, np.count_nonzero(pos + neg)
+        llr = np.log((pos + a * prior) / (pos.sum() + a * prior * used)) - np.log((neg + a) / (neg.sum() + a * used))
+        llr[(pos + neg) == 0] = 0.0
+    return Model(llr, prior)
+
+
+def _decide(model: Model, listed: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
@@ -227,56 +310,39 @@ def _decide(llr: np.ndarray, prior: float):
             n = len(b)
             if not n:
                 continue
-            doc, p, _, _, size, known, _ = _posteriors(b, llr, prior)
+            texts = b["text"].tolist()
+            doc, slot, size, feats, owner = encode(texts)
+            p = model.posteriors(n, doc, slot, feats, owner)
             words = np.bincount(doc, weights=size, minlength=n)
             bad = np.bincount(doc, weights=size * p, minlength=n)
-            holes = np.bincount(doc, weights=known == 2, minlength=n)
-            share = np.divide(bad, words, out=np.zeros(n), where=words > 0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": words.astype("int64"), "placeholders": holes.astype("int64"), "share": np.round(share, 6)})
+            holes = np.bincount(doc, weights=slot & (p > 0.5), minlength=n)
+            out = {"doc_id": b["doc_id"], "n_words": words.astype("int64"), "placeholders": holes.astype("int64"), "share": np.round(np.divide(bad, words, out=np.zeros(n), where=words > 0), 6)}
+            if listed:
+                out["listed"] = [any(trusted(x) for x in passages(t)) for t in texts]
+            yield pd.DataFrame(out)
 
     return run
 
 
-def residue_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def residue_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, sample_chars: int = SAMPLE_CHARS, model: Model | None = None, listed: bool = False) -> DataFrame:
     """(doc_id, n_words, placeholders, share): per record the words outside code,
-    the passages with an unfilled placeholder, and the share of words in
-    passages that look like residue.
-
-    Naive Bayes over hashed words and word pairs, learned from positive and
-    unlabelled passages of all documents: trusted passages are positive, all
-    others start as content, and expectation-maximization moves the rest.
-    Text is tokenised once; each round reads the numbers only and sends back at
-    most 65,536 pairs of counts. Null and empty texts score 0; ids may repeat;
-    rows without id are left out."""
-    import numpy as np
+    the slots that the model takes for unfilled placeholders, and the share of
+    words in passages it takes for residue; with `listed` also whether a passage
+    is on the lists, which decides nothing.
 
+    The model is fitted on a bounded sample (fit()); then every record is read
+    once, as a whole. Null and empty texts score 0; ids may repeat; rows without
+    id are left out."""
     ship(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
+    model = model or fit(d, rounds, sample_chars)
     kind = d.schema["doc_id"].dataType.simpleString()
-    prep = cut(d.mapInPandas(_prepare, f"doc_id {kind}, feats array<int>, ends array<int>, size array<int>, known array<int>"), "passages")
-    llr, prior = np.zeros(BUCKETS), 0.01
-    # the first round counts passages of documents without trusted ones as
-    # content: what is common in them speaks against residue from the start
-    for k in range(rounds):
-        got = prep.mapInPandas(_counts(llr, prior, k == 0), "bucket int, pos double, neg double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
-        pos, neg, rate = np.zeros(BUCKETS), np.zeros(BUCKETS), (0.0, 0.0)
-        for at, a, c in got:
-            if at < 0:
-                rate = (a, c)
-            else:
-                pos[at], neg[at] = a, c
-        if not sum(rate):
-            break
-        prior = min(0.5, max(1e-4, rate[0] / sum(rate)))
-        a, used = 0.5, np.count_nonzero(pos + neg)
-        llr = np.log((pos + a * prior) / (pos.sum() + a * prior * used)) - np.log((neg + a) / (neg.sum() + a * used))
-        llr[(pos + neg) == 0] = 0.0
-    return prep.mapInPandas(_decide(llr, prior), f"doc_id {kind}, n_words long, placeholders long, share double")
+    return d.mapInPandas(_decide(model, listed), f"doc_id {kind}, n_words long, placeholders long, share double" + (", listed boolean" if listed else ""))
 
 
-def residue_records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.25, rounds: int = ROUNDS) -> DataFrame:
+def residue_records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.25, rounds: int = ROUNDS, **kw) -> DataFrame:
     """residue_scores with `kind`: 'placeholder' if an unfilled placeholder is
     left, else 'residue' if at least `least` of the words outside code are
     residue, else null."""
-    s = residue_scores(docs, doc_id, text, rounds)
+    s = residue_scores(docs, doc_id, text, rounds, **kw)
     return s.withColumn("kind", F.when(F.col("placeholders") > 0, "placeholder").when(F.col("share") >= least, "residue"))
