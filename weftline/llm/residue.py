@@ -31,7 +31,7 @@ ROUNDS = 6
 #: taken by a hash of their id. Of a document longer than a hundredth of it so
 #: many passages, spread over its whole length, are taken. All documents are
 #: scored, as a whole.
-SAMPLE_CHARS = 16_000_000
+SAMPLE_CHARS = 48_000_000
 
 # Delimiters of placeholders, with what may stand between them.
 _NAME = r"[A-Za-z][A-Za-z0-9_]*"
@@ -103,11 +103,14 @@ _TRUSTED = re.compile("(?:" + "|".join(TRUSTED) + ")", re.I)
 _FENCE = re.compile(r"(?m)^[^\w\n]*(```|~~~)[^\n]*\n.*?(?:^[^\w\n]*\1[^\n]*$|\Z)", re.S)
 _QUOTED = re.compile(r"`+[^`\n]+`+|\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”")
 _IDENT = re.compile(r"\b(?:[A-Za-z]\w*\.)+[A-Za-z]\w*\b|\b[A-Za-z]+_\w+\b")
-#: A name as a title, with text behind it on the same line.
-_TITLE = re.compile(r"(?m)^(\W*#\s+\x02)[ \t]+(?=\w)")
+#: A name as a title, with text behind it on the same line: line ends are lost
+#: there, so a known phrase begins a passage of its own.
+_TITLE = re.compile(r"(?m)^(\W*#\s+\x02)[ \t]+(\w.*)$")
+_INNER = re.compile(r"\s+(?=[A-Z])(?=(?i:" + "|".join(TRUSTED) + "))")
 _BREAK = r"[\n\r]+|(?<=[.!?]) +"
 _SPLIT = re.compile(_BREAK)
 _WORD = re.compile(r"[^\W\d_]+|\d+|\x01|\x02|[|@#%{}<>\[\]]")
+_REAL = re.compile(r"[^\W_]|[\x02|@#%{}<>\[\]]")
 _TOKEN = re.compile(_WORD.pattern + "|" + _BREAK)
 _LEAD = re.compile(r"^[\s\-*>#|0-9.)]*")
 
@@ -122,7 +125,8 @@ def visible(text: str) -> str:
         text = _QUOTED.sub(" \x02 ", text)
     if _PH_SIGN.search(text):
         text = _PH.sub("\x01", text)
-    return _TITLE.sub(r"\1\n", _IDENT.sub("\x02", text))
+    text = _IDENT.sub("\x02", text)
+    return _TITLE.sub(lambda m: m[1] + "\n" + _INNER.sub("\n", m[2]), text) if "#" in text else text
 
 
 def passages(text: str | None) -> list[str]:
@@ -227,7 +231,7 @@ def _sampled(known: re.Pattern, most: int):
                 continue
             doc, slot, _, feats, owner = encode(texts)
             sure = slot.copy()
-            marks = [trusted(p, known) for t in texts for p in passages(t) if any(x != "\x01" for x in _WORD.findall(p))]
+            marks = [trusted(p, known) for t in texts for p in _SPLIT.split(visible(t)) if _REAL.search(p)]
             sure[: len(marks)] = marks
             raw = [x.astype(k).tobytes() for x, k in ((doc, np.int32), (slot, np.int8), (sure, np.int8), (feats, np.int32), (owner, np.int32))]
             yield pd.DataFrame([raw], columns=["doc", "slot", "sure", "feats", "owner"])
