@@ -31,7 +31,7 @@ ROUNDS = 6
 #: taken by a hash of their id. Of a document longer than a hundredth of it so
 #: many passages, spread over its whole length, are taken. All documents are
 #: scored, as a whole.
-SAMPLE_CHARS = 48_000_000
+SAMPLE_CHARS = 32_000_000
 
 # Delimiters of placeholders, with what may stand between them.
 _NAME = r"[A-Za-z][A-Za-z0-9_]*"
@@ -166,8 +166,8 @@ _CODES = _Codes()
 _HOLE = zlib.crc32(b"\x01")
 
 
-def encode(texts: list[str | None]):
-    """Passages of texts as numbers: doc (which text each is of), slot (whether
+def encode(texts: list[str | None], seen: bool = False):
+    """Passages of texts (as visible() gives them, if seen) as numbers: doc (which text each is of), slot (whether
     it is the slot of a placeholder), size (its words), feats (hashed words and
     word pairs of all passages, one after the other) and owner (the passage of
     each feature). Placeholders count in their slots only."""
@@ -176,7 +176,7 @@ def encode(texts: list[str | None]):
     get, codes, lens = _CODES.__getitem__, [], []
     for t in texts:
         if t:
-            c = list(map(get, _TOKEN.findall(visible(t).lower())))
+            c = list(map(get, _TOKEN.findall((t if seen else visible(t)).lower())))
             c.append(0)
         else:
             c = [0]
@@ -226,12 +226,12 @@ def _sampled(known: re.Pattern, most: int):
         import pandas as pd
 
         for b in batches:
-            texts = [_thinned(t, most) for t in b["text"] if t]
+            texts = [visible(_thinned(t, most)) for t in b["text"] if t]
             if not texts:
                 continue
-            doc, slot, _, feats, owner = encode(texts)
+            doc, slot, _, feats, owner = encode(texts, True)
             sure = slot.copy()
-            marks = [trusted(p, known) for t in texts for p in _SPLIT.split(visible(t)) if _REAL.search(p)]
+            marks = [trusted(p, known) for t in texts for p in _SPLIT.split(t) if _REAL.search(p)]
             sure[: len(marks)] = marks
             raw = [x.astype(k).tobytes() for x, k in ((doc, np.int32), (slot, np.int8), (sure, np.int8), (feats, np.int32), (owner, np.int32))]
             yield pd.DataFrame([raw], columns=["doc", "slot", "sure", "feats", "owner"])
@@ -286,7 +286,9 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, sample_chars: int = SAMPLE_CHARS,
             cols[i].append(v)
         n += int(x[0].max(initial=-1)) + 1
         m += len(x[0])
+    del got
     doc, slot, sure, feats, owner = map(np.concatenate, cols)
+    del cols
     per = np.maximum(np.bincount(doc[~slot], minlength=n), 1)
     for k in range(rounds):
         if k:
