@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..operators import hierarchy as H
 from ..operators import incremental as I
 from ..operators import references as R
 from ..operators import skew as S
-from ..session import cut, table
+from ..session import cut, job_dir, table
 
 CARRIED = ("PASS_THROUGH", "RENAME", "STAR_EXPANSION")
 
@@ -67,16 +69,41 @@ def p3_loops(spark: SparkSession, d: str) -> DataFrame:
     return H.loops(H.hierarchy(links), links)
 
 
+def _ledger(spark: SparkSession) -> I.Ledger:
+    """A ledger of its own for a query, in the shared folder; a pipeline keeps
+    one and calls I.pending() on it again and again."""
+    return I.Ledger(spark, f"{job_dir(spark)}/ledger-{uuid.uuid4().hex}")
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "src_file").select("path", "sha", "indexed_at"), table(spark, d, "file_done"), table(spark, d, "index_run")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pending(spark, d).select("path", "sha")
 
 
 def p4_pending(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "src_file").select("path", "sha", "indexed_at")
-    p = I.pending(files, table(spark, d, "file_done"), table(spark, d, "index_run"), I.upper_bound(files))
+    p = I.pending(_ledger(spark), *_versions(spark, d))
     return p.select("path", "sha", F.col("seen_at").alias("indexed_at"), "reason")
 
 
+def p4_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """p4_pending as a sequence of runs: one that sees the first half of the
+    time, one that dies before its commit, one that dies after it, and a last
+    one that finds nothing new."""
+    led, v = _ledger(spark), _versions(spark, d)
+    lo, hi = v[0].agg(F.min("indexed_at"), F.max("indexed_at")).first()
+    if lo is not None:
+        I.pending(led, *v, upto=lo + (hi - lo) / 2)
+        for when in ("before", "after"):
+            try:
+                I.pending(led, *v, fail=when)
+            except RuntimeError:
+                pass
+    return I.pending(led, *v).select("path", "sha", F.col("seen_at").alias("indexed_at"), "reason")
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "column_lineage").select("src_key", "dst_key", F.when(F.col("query_id") != "", F.col("query_id")).alias("query_id"), "indexed_at")
     e = e.where(F.col("src_key").isNotNull() & F.col("dst_key").isNotNull())
@@ -119,7 +146,7 @@ def p6_composite(spark: SparkSession, d: str) -> DataFrame:
     return R.orphans(e, keys, t, keys, match="partial").select("src_key", *keys, "n_edges")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_profile, p2_confidence, p3_found, p3_paths, p3_descendants, p3_loops, p4_found, p4_pending, p6_found, p6_report, p6_composite)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_profile, p2_confidence, p3_found, p3_paths, p3_descendants, p3_loops, p4_found, p4_pending, p4_resumed, p6_found, p6_report, p6_composite)}
 
 _PROFILE = """
   SELECT '{rel}' AS relation, dst_key, CAST(sum(w) AS BIGINT) AS n_edges, CAST(count(src_key) AS BIGINT) AS n_sources,
@@ -169,6 +196,7 @@ WITH e AS (SELECT src_key, string_split(src_key, '.') AS p, CAST(count(*) AS BIG
 SELECT src_key, catalog, db, table_name, col_name, n_edges FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE (k.catalog IS NULL OR c.catalog = k.catalog)
   AND (k.db IS NULL OR c.db = k.db) AND (k.table_name IS NULL OR c.table_name = k.table_name) AND c.col_name = k.col_name)""",
 }
+ORACLE["p4_resumed"] = ORACLE["p4_pending"]
 ORACLE["p4_found"] = f"SELECT path, sha FROM ({ORACLE['p4_pending']})"
 ORACLE["p3_paths"] = _TREE + """, sub AS (SELECT a, count(*) AS n FROM (SELECT unnest(path[:depth]) AS a FROM t) GROUP BY a)
 SELECT t.node AS node_key, t.root AS root_key, CAST(t.depth AS BIGINT) AS depth, array_to_string(t.path, ' > ') AS path, CAST(coalesce(sub.n, 0) AS BIGINT) AS n_descendants
