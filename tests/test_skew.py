@@ -36,6 +36,28 @@ def test_percentiles_against_sorting(spark):
         assert {k for k, _ in got} == {"h", "one", "two"}
 
 
+def test_percentiles_of_infinities_and_wide_ranges(spark):
+    inf = float("inf")
+    vs = [-inf, inf, -1.7e308, 1.7e308, 5e-324, -0.0] + [float(i) for i in range(50)]
+    df = spark.createDataFrame([("k", v) for v in vs] + [("inf", inf), ("inf", -inf), ("inf", inf)], "k string, v double")
+    points = [0.0, 0.02, 0.5, 0.98, 1.0]
+    got = {(r[0], r[1]): r[2] for r in S.weighted_percentiles(df, "k", "v", points, at_once=10).collect()}
+    import math
+
+    for k, x in (("k", sorted(vs)), ("inf", [-inf, inf, inf])):
+        assert [got[k, p] for p in points] == [x[max(1, math.ceil(p * len(x))) - 1] for p in points]
+
+
+def test_lookup_join_of_two_columns(spark):
+    left = spark.createDataFrame([("h", 1)] * 50 + [("h", 2), ("c", 1), (None, 1), ("h", None)], "a string, b int")
+    right = spark.createDataFrame([("h", 1, 7), ("c", 1, 8)], "x string, y int, n int")
+    hot = [r[0] for r in left.where("a = 'h' and b = 1").select(S.key_hash(["a", "b"])).distinct().collect()]
+    for h in (hot, [], None):
+        got = S.lookup_join(left, right, ["a", "b"], ["x", "y"], h)
+        assert rows(got.where("n is not null"), "a", "n") == [("c", 8)] + [("h", 7)] * 50 and got.count() == 54
+        assert S.lookup_join(left, right, ["a", "b"], ["x", "y"], h, "left_anti").count() == 3
+
+
 def test_lookup_join_with_hot_key(spark):
     left = spark.createDataFrame([("hot",)] * 50 + [("cold",), (None,), ("gone",)], "a string")
     right = spark.createDataFrame([("hot", 1), ("cold", 2)], "b string, n int")

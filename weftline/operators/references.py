@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import hot_keys, lookup_join
+from .skew import lookup_join
 
 #: Prefix of the columns that exist only inside; callers' columns keep theirs.
 _OWN = "__weft_"
@@ -65,13 +65,7 @@ def check(refs: DataFrame, ref_keys: Sequence[str], target: DataFrame, keys: Seq
 
 
 def _join(part: DataFrame, cols: list[str], states: DataFrame, names: tuple[str, str]) -> DataFrame:
-    if len(cols) == 1:
-        j = lookup_join(part, states, cols[0], f"{_OWN}0", hot_keys(part, cols[0]))
-    else:
-        cond = F.lit(True)
-        for i, c in enumerate(cols):
-            cond = cond & (F.col(c) == F.col(f"{_OWN}{i}"))
-        j = part.join(states, cond, "left")
+    j = lookup_join(part, states, cols, [f"{_OWN}{i}" for i in range(len(cols))])
     state = F.when(F.col(f"{_OWN}alive").isNull(), "missing").when(~F.col(f"{_OWN}alive"), "deleted").otherwise("alive")
     return j.withColumns({names[0]: state, names[1]: F.col(f"{_OWN}seen").cast("timestamp")}).drop(f"{_OWN}seen", f"{_OWN}alive", *[f"{_OWN}{i}" for i in range(len(cols))])
 

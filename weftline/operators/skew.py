@@ -35,22 +35,35 @@ def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS, least: int = LEAST
     return [r[0] for r in big if r[1] * parts > total]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: Sequence, how: str = "left") -> DataFrame:
-    """left joined (inner or left) to right, whose right_key is unique. Rows of
-    the keys in `hot` are not shuffled: the right side's rows for them (at most
-    one per hot key, fewer than HOT_PARTS) are broadcast."""
-    if left_key == right_key:
+def lookup_join(left: DataFrame, right: DataFrame, left_key: str | Sequence[str], right_key: str | Sequence[str], hot: Sequence | None = None, how: str = "left") -> DataFrame:
+    """left joined (inner, left, left_semi or left_anti) to right, whose
+    right_key is unique. Rows of the keys in `hot` are not shuffled: the right
+    side's rows for them (at most one per hot key, fewer than HOT_PARTS) are
+    broadcast. Without `hot` the hot keys of left are looked for. Of a key of
+    several columns `hot` has the hashes (key_hash())."""
+    lk, rk = ([left_key] if isinstance(left_key, str) else list(left_key)), ([right_key] if isinstance(right_key, str) else list(right_key))
+    if set(lk) & set(rk):
         raise ValueError("give the keys different names")
-    cond = F.col(left_key) == F.col(right_key)
+    cond = F.lit(True)
+    for x, y in zip(lk, rk):
+        cond = cond & (F.col(x) == F.col(y))
+    one = len(lk) == 1
+    if hot is None:
+        hot = hot_keys(left, lk[0]) if one else hot_keys(left.select(key_hash(lk).alias("_h")), "_h")
     if not hot:
         return left.join(right, cond, how)
     hot = list(hot)
-    is_hot = F.coalesce(F.col(left_key).isin(hot), F.lit(False))
+    is_hot = F.coalesce(F.col(lk[0]).isin(hot), F.lit(False)) if one else key_hash(lk).isin(hot)
     cold = left.where(~is_hot).join(right, cond, how)
-    warm = left.where(is_hot).join(F.broadcast(right.where(F.col(right_key).isin(hot))), cond, how)
+    warm = left.where(is_hot).join(F.broadcast(right.where((F.col(rk[0]) if one else key_hash(rk)).isin(hot))), cond, how)
     return cold.unionByName(warm)
 
 
+def key_hash(cols: Sequence[str]) -> Column:
+    """By which rows of a key of several columns are counted as hot."""
+    return F.xxhash64(*cols)
+
+
 def weighted_values(df: DataFrame, key: Sequence[str], value: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     """Value-frequency compression: one row per (key, value) with its weight.
 
@@ -98,10 +111,11 @@ def weighted_percentiles(df: DataFrame, key: str, value: str, points: Sequence[f
 
     Values are compressed to (key, value, weight). For every (key, point) the
     interval that holds the answer is then narrowed: its values are summed in
-    `bins` equal parts and the part that reaches the point is kept, until it has
-    at most `at_once` distinct values, which are sorted. So however many values
-    a key has, none of its tasks gets more than that; as a rule the first
-    interval is small enough already."""
+    `bins` parts of about as many values each, cut at values found by rank (so
+    infinities and wide ranges are values like others), and the part that
+    reaches the point is kept, until it has at most `at_once` distinct values,
+    which are sorted. So however many values a key has, none of its tasks gets
+    more than that; as a rule the first interval is small enough already."""
     from pyspark.sql import Window as W
 
     k = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_k").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -111,9 +125,9 @@ def weighted_percentiles(df: DataFrame, key: str, value: str, points: Sequence[f
     s = s.withColumn("point", F.explode(F.array(*[F.lit(float(p)) for p in points])))
     s = s.select("_k", "point", "lo", "hi", "n", F.lit(0).cast("long").alias("before"), F.greatest(F.lit(1), F.ceil(F.col("point") * F.col("total"))).alias("need"))
 
-    def inside(state: DataFrame) -> DataFrame:
+    def inside(state: DataFrame, *more: str) -> DataFrame:
         """Values of the intervals of state, with the interval's columns."""
-        one = state.groupBy(F.col("_k").alias("_s")).agg(F.collect_list(F.struct("point", "lo", "hi", "before", "need")).alias("i"))
+        one = state.groupBy(F.col("_k").alias("_s")).agg(F.collect_list(F.struct("point", "lo", "hi", "before", "need", *more)).alias("i"))
         j = lookup_join(w, one, "_k", "_s", hot, "inner").select("_k", "_v", "weight", F.explode("i").alias("i"))
         return j.select("_k", "_v", "weight", "i.*").where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
 
@@ -124,8 +138,11 @@ def weighted_percentiles(df: DataFrame, key: str, value: str, points: Sequence[f
         wide = s.where((F.col("n") > at_once) & (F.col("lo") < F.col("hi")))
         if wide.isEmpty():
             break
-        part = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-        b = inside(wide).groupBy("_k", "point", "before", "need", part.alias("bin")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("weight").alias("bw"), F.count(F.lit(1)).alias("n"))
+        ranks = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+        cuts = inside(wide).groupBy("_k", "point").agg(F.percentile_approx("_v", ranks, 10_000).alias("cuts"))
+        wide = cut(wide.join(cuts, ["_k", "point"]), "cuts")
+        part = F.size(F.filter("cuts", lambda c: c < F.col("_v")))
+        b = inside(wide, "cuts").groupBy("_k", "point", "before", "need", part.alias("bin")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("weight").alias("bw"), F.count(F.lit(1)).alias("n"))
         upto = F.col("before") + F.sum("bw").over(W.partitionBy("_k", "point").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))
         b = b.withColumn("upto", upto).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("bw") < F.col("need")))
         s = b.select("_k", "point", "lo", "hi", "n", (F.col("upto") - F.col("bw")).alias("before"), "need")

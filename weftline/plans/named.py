@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from .base import load_graph, sql
 
 Graph = dict[str, DataFrame]
@@ -40,7 +41,9 @@ def trace_column_lineage(g: Graph, ids: DataFrame | None = None) -> DataFrame:
     c = g["sql_column"].select(F.col("id").alias("src_key"), "col_name", "table_qualified")
     q = g["sql_query"].select(F.col("id").alias("query_id"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("sql").alias("expression"))
     t = g["sql_table"].select(F.col("qualified").alias("table_qualified"), F.col("kind").alias("table_kind"))
-    j = e.join(c, "src_key").join(q, "query_id", "left").join(t, "table_qualified", "left")
+    j = lookup_join(e, c.withColumnRenamed("src_key", "_c"), "src_key", "_c", how="inner")
+    j = lookup_join(j, q.withColumnRenamed("query_id", "_q"), "query_id", "_q")
+    j = lookup_join(j, t.withColumnRenamed("table_qualified", "_t"), "table_qualified", "_t")
     return j.select("dst_key", F.col("src_key").alias("id"), "col_name", "table_qualified", "transform", "confidence", "file", "line", "expression", "table_kind")
 
 
@@ -48,7 +51,9 @@ def table_usages(g: Graph, names: DataFrame | None = None) -> DataFrame:
     """Queries that read a table, by the table's bare name."""
     t = _only(g["sql_table"], "name", names).select("name", F.col("qualified").alias("tab"))
     sf = g["selects_from"].select(F.col("src_key").alias("qid"), F.col("dst_key").alias("tab"))
-    return t.join(sf, "tab").join(_q(g, "sql", "kind"), "qid").join(_query_files(g), "qid").select("name", "file", "sql", "kind")
+    # a table may be read by most queries
+    j = lookup_join(sf, t.withColumnRenamed("tab", "_t"), "tab", "_t", how="inner")
+    return j.join(_q(g, "sql", "kind"), "qid").join(_query_files(g), "qid").select("name", "file", "sql", "kind")
 
 
 def usages_via_lineage(g: Graph, names: DataFrame | None = None) -> DataFrame:
@@ -57,7 +62,8 @@ def usages_via_lineage(g: Graph, names: DataFrame | None = None) -> DataFrame:
     c = g["sql_column"].select(F.col("id").alias("src_key"), "table_qualified")
     e = g["column_lineage"].select("src_key", F.col("query_id").alias("qid"))
     # columns of one query and table are many: pairs first, texts afterwards
-    pairs = e.join(c, "src_key").select("qid", "table_qualified").distinct().join(t, "table_qualified")
+    pairs = lookup_join(e, c.withColumnRenamed("src_key", "_c"), "src_key", "_c", how="inner").select("qid", "table_qualified").distinct()
+    pairs = lookup_join(pairs, t.withColumnRenamed("table_qualified", "_t"), "table_qualified", "_t", how="inner")
     return pairs.join(_q(g, "sql", "kind"), "qid").join(_query_files(g), "qid").select("name", "file", "sql", "kind").distinct()
 
 
@@ -134,7 +140,9 @@ def table_adjacency(g: Graph, ids: DataFrame | None = None) -> DataFrame:
     c = g["sql_column"]
     a = c.select(F.col("id").alias("src_key"), F.col("table_qualified").alias("upstream_table"))
     b = c.select(F.col("id").alias("dst_key"), F.col("table_qualified").alias("downstream_table"))
-    p = e.join(a, "src_key").join(b, "dst_key").where("upstream_table <> downstream_table").select("upstream_table", "downstream_table").distinct()
+    # most edges may lead to, or come from, a few columns
+    e = lookup_join(e, a.withColumnRenamed("src_key", "_a"), "src_key", "_a", how="inner")
+    p = lookup_join(e, b.withColumnRenamed("dst_key", "_b"), "dst_key", "_b", how="inner").where("upstream_table <> downstream_table").select("upstream_table", "downstream_table").distinct()
     k = g["sql_table"].select("qualified", "kind")
     p = p.join(k.select(F.col("qualified").alias("upstream_table"), F.col("kind").alias("upstream_kind")), "upstream_table", "left")
     p = p.join(k.select(F.col("qualified").alias("downstream_table"), F.col("kind").alias("downstream_kind")), "downstream_table", "left")
@@ -194,7 +202,7 @@ def producer_tables(g: Graph) -> DataFrame:
 
 def consumers_via_lineage(g: Graph, tables: DataFrame | None = None) -> DataFrame:
     c = _only(g["sql_column"], "table_qualified", tables).select(F.col("id").alias("src_key"), "table_qualified")
-    a = g["column_lineage"].select("src_key", F.col("query_id").alias("qid")).join(c, "src_key").select("table_qualified", "qid")
+    a = lookup_join(g["column_lineage"].select("src_key", F.col("query_id").alias("qid")), c.withColumnRenamed("src_key", "_c"), "src_key", "_c", how="inner").select("table_qualified", "qid")
     b = _only(g["star_source"], "dst_key", tables).select(F.col("dst_key").alias("table_qualified"), F.col("src_key").alias("qid"))
     j = a.union(b).distinct().join(_q(g, "kind", "target_table"), "qid")
     return j.select("table_qualified", F.col("qid").alias("id"), "kind", F.col("target_table").alias("target"))
