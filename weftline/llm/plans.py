@@ -24,10 +24,6 @@ def p1_statements(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(counts, F.col("key") == F.col("_k")).select("keep_id", "n_ids", "n_rows", "n_texts")
 
 
-def _none(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def _current_texts(spark: SparkSession, d: str) -> DataFrame:
     """Current version of each path with its content."""
     f = table(spark, d, "src_file").where(F.col("path").isNotNull() & F.col("sha").isNotNull() & F.col("indexed_at").isNotNull())
@@ -85,28 +81,24 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report()
 
 
+def _leaks(spark: SparkSession, d: str, least: int = 12) -> DataFrame:
+    return leakage.tile_matches(table(spark, d, "documents"), table(spark, d, "eval_item"), least=least)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    got = leakage.tile_matches(table(spark, d, "documents"), table(spark, d, "eval_item"))
-    return _none(spark, "doc_id long, item_id long") if got is None else got.select("doc_id", "item_id").distinct()
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of five words and more: reordered and patched copies as well. A
     test item counts as leaked into a document when half of it is covered."""
-    got = leakage.tile_matches(table(spark, d, "documents"), table(spark, d, "eval_item"), least=5)
-    schema = "doc_id long, item_id long, n_tiles int, longest int, coverage double, leaked boolean"
-    if got is None:
-        return _none(spark, schema)
     share = F.col("covered") / F.col("item_words")
-    return got.select("doc_id", "item_id", "n_tiles", "longest", share.alias("coverage"), (share >= 0.5).alias("leaked"))
+    return _leaks(spark, d, 5).select("doc_id", "item_id", "n_tiles", "longest", share.alias("coverage"), (share >= 0.5).alias("leaked"))
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """Which test items leaked, into how many documents, and how much of them."""
-    got = leakage.tile_matches(table(spark, d, "documents"), table(spark, d, "eval_item"))
-    if got is None:
-        return _none(spark, "item_id long, n_docs long, most_covered double")
-    return got.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max(F.col("covered") / F.col("item_words")).alias("most_covered"))
+    return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max(F.col("covered") / F.col("item_words")).alias("most_covered"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
