@@ -17,9 +17,22 @@ def sized(spark, n=6000):
 TARGETS = "source string, target_share double, max_repeats long"
 
 
+def by_source(m):
+    return {r["level"]: r for r in m.report().where("margin = 'source'").collect()}
+
+
+def test_languages_and_topics_keep_their_shares(spark):
+    t = spark.createDataFrame([("big", 0.3, 2), ("mid", 0.3, 4), ("small", 0.3, 16)], TARGETS)
+    rep = M.Mixture(sized(spark), t, total=400_000).report().collect()
+    assert {(r["margin"], r["level"]) for r in rep} >= {("lang", None), ("lang", "en"), ("topic", "t0"), ("source", "small")}
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.02 for r in rep if r["margin"] != "source")
+    for m in ("source", "lang", "topic"):
+        assert abs(sum(r["actual_share"] for r in rep if r["margin"] == m) - 1) < 1e-9
+
+
 def test_shares_and_caps(spark):
     t = spark.createDataFrame([("big", 0.3, 1), ("mid", 0.3, 2), ("small", 0.3, 8), ("absent", 0.1, 3)], TARGETS)
-    rep = {r["source"]: r for r in M.Mixture(sized(spark), t).report().collect()}
+    rep = by_source(M.Mixture(sized(spark), t))
     for s, want in (("big", 1 / 3), ("mid", 1 / 3), ("small", 1 / 3), ("absent", 0.0)):
         assert abs(rep[s]["actual_share"] - want) < 0.005, rep[s]
         assert rep[s]["most_repeats"] <= rep[s]["max_repeats"]
@@ -31,9 +44,9 @@ def test_shares_and_caps(spark):
 
 def test_a_given_size_and_too_much(spark):
     t = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.5, 1)], TARGETS)
-    rep = {r["source"]: r for r in M.Mixture(sized(spark), t, total=20_000).report().collect()}
+    rep = by_source(M.Mixture(sized(spark), t, total=20_000))
     assert all(abs(r["tokens"] - 10_000) < 400 for r in rep.values())
-    rep = {r["source"]: r for r in M.Mixture(sized(spark), t, total=1e9).report().collect()}
+    rep = by_source(M.Mixture(sized(spark), t, total=1e9))
     assert all(r["most_repeats"] <= 1 and r["tokens"] == r["tokens_available"] for r in rep.values())
 
 
@@ -52,7 +65,7 @@ def test_nothing_to_mix(spark):
     t = spark.createDataFrame([("a", 1.0, 1), (None, 1.0, 1), ("z", None, None)], TARGETS)
     m = M.Mixture(none, t)
     assert m.sample().collect() == []
-    assert sorted((r["source"], r["tokens"], r["actual_share"]) for r in m.report().collect()) == [("a", 0, 0.0), ("z", 0, 0.0)]
+    assert sorted((r["level"], r["tokens"], r["actual_share"]) for r in m.report().collect()) == [("a", 0, 0.0), ("z", 0, 0.0)]
     assert M.Mixture(none, t.limit(0)).report().collect() == []
 
 
@@ -67,3 +80,9 @@ def test_token_counts(spark):
     t.encode_special_tokens = True
     assert got == {1: len(t.encode("Hello <|endoftext|> world").ids), 2: 0, 3: 0, 4: len(t.encode(long).ids)}
     assert M.token_counts(d.limit(0), TOK).collect() == []
+
+
+def test_ranks_count_as_the_tokenizer(spark):
+    pytest.importorskip("tiktoken")
+    texts = ["it's  a\n\n test_x 12345 ü— \t x ", "<|endoftext|>", "a" * 3000, " ", "\n\n\nx"]
+    assert M._counter(TOK)(texts) == M._counter(TOK.replace(".json", ".tiktoken"))(texts)

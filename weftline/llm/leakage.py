@@ -33,6 +33,8 @@ _SEGMENT = 15  # bits of a filter segment's size
 _CHUNK = 1 << 20
 #: Parts into which the documents of a hot window are split.
 SALT = 32
+#: Pairs that one task tiles.
+PAIRS = 500
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -270,6 +272,8 @@ def tile_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
         pairs = left.join(right, (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_salt")))
     else:
         pairs = left.join(right, F.col("h") == F.col("_h"))
-    pairs = pairs.select("d", "i").distinct()
+    pairs = cut(pairs.select("d", "i").distinct(), "pairs")
+    # tiling is work by the pair, not by the byte
+    pairs = pairs.repartition(rows_written(pairs) // PAIRS + 1)
     full = pairs.join(cand.select("d", "doc_id", "text"), "d").join(it, "i").select("doc_id", "text", "item_id", "t")
     return full.mapInPandas(_tiler(least), f"doc_id {kinds[0]}, item_id {kinds[1]}, n_tiles int, longest int, covered int, item_words int")

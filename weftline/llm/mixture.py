@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import cut, ship
 
 if TYPE_CHECKING:
     import numpy as np
@@ -23,11 +23,25 @@ MOST_CELLS = 200_000
 STEPS = 4096
 
 
+# Fixed value: how byte-level BPE vocabularies of this family split text before
+# merging.
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
 @lru_cache(maxsize=4)
 def _counter(path: str):
-    """A function from texts to token counts for a tokenizer file: .json
-    (tokenizers) or .model (sentencepiece)."""
+    """A function from texts to token counts for a tokenizer file: .tiktoken
+    (ranks of a byte-level BPE), .json (tokenizers) or .model (sentencepiece)."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encode = tiktoken.Encoding("ranks", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [len(encode(x)) for x in texts]
     if path.endswith(".model"):
         import sentencepiece
 
@@ -158,10 +172,14 @@ class Mixture:
         base = F.floor("w")
         step = F.floor((F.col("w") - base - u) * STEPS).cast("int")
         step = F.when(base >= F.col("cap"), F.lit(None)).otherwise(step)
-        return j.select("doc_id", "source", "n_tokens", "w", base.cast("int").alias("base"), step.alias("step"))
+        return j.select("doc_id", "source", "lang", "topic", "n_tokens", "w", base.cast("int").alias("base"), step.alias("step"))
 
     def sample(self) -> DataFrame:
-        """(doc_id, source, n_tokens, copies): documents with their copies.
+        """(doc_id, source, n_tokens, copies): documents with their copies."""
+        return self._copies().select("doc_id", "source", "n_tokens", "copies")
+
+    def _copies(self) -> DataFrame:
+        """sample() with lang and topic.
 
         A document of weight w gets floor(w) copies and one more with the
         probability of the rest, by a hash of its id; the cut of each source's
@@ -181,23 +199,33 @@ class Mixture:
                     best, at = abs(left - acc), r[1]
             cut[s] = at
         if not cut:
-            return x.select("doc_id", "source", "n_tokens", F.lit(0).alias("copies")).where(F.lit(False))
+            return x.select("doc_id", "source", "lang", "topic", "n_tokens", F.lit(0).alias("copies")).where(F.lit(False))
         at = F.create_map(*[F.lit(v) for kv in cut.items() for v in kv])[F.col("source")]
         copies = F.col("base") + F.coalesce((F.col("step") >= at).cast("int"), F.lit(0))
-        return x.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
+        return x.select("doc_id", "source", "lang", "topic", "n_tokens", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
 
     def report(self) -> DataFrame:
-        """Per listed source: target_share, what there was, what was taken, the
-        actual share and the most copies of a document."""
-        spark = self.sized.sparkSession
-        s = self.sample().groupBy("source").agg(
-            F.count(F.lit(1)).alias("docs_used"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_repeats")
-        )
-        rows = [(k, float(a), int(self.have.get(k, 0)), int(self.cap[k])) for k, a in sorted(self.share.items())]
-        t = spark.createDataFrame(rows, "_s string, target_share double, tokens_available long, max_repeats int")
-        j = t.join(s, F.col("_s") == F.col("source"), "left").select(
-            F.col("_s").alias("source"), "target_share", "max_repeats", "tokens_available",
-            F.coalesce("docs_used", F.lit(0)).alias("docs_used"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
-        )
-        total = j.agg(F.sum("tokens")).first()[0] or 0
-        return j.withColumn("actual_share", F.col("tokens") / F.lit(float(total)) if total else F.lit(0.0))
+        """Per listed source, and per language and topic of the listed sources'
+        texts (margin and level tell which): target_share, what there was, what
+        was taken, the actual share and the most copies of a document. A source
+        without tokens keeps its target in the report and its share is 0; targets
+        of languages and topics are their shares of all tokens there are."""
+        x = self._copies()
+        used = [F.count(F.lit(1)).alias("docs_used"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_repeats")]
+        out = None
+        for m in ("source", "lang", "topic"):
+            got = x.groupBy(F.col(m).alias("_l")).agg(*used)
+            have = self.sized.groupBy(F.col(m).alias("level")).agg(F.sum("n_tokens").alias("tokens_available"))
+            if m == "source":
+                rows = [(k, float(a), int(self.cap[k])) for k, a in sorted(self.share.items())]
+                t = self.sized.sparkSession.createDataFrame(rows, "_s string, target_share double, max_repeats int")
+                have = t.join(have, F.col("_s") == F.col("level"), "left").select(F.col("_s").alias("level"), "target_share", "max_repeats", F.coalesce("tokens_available", F.lit(0)).alias("tokens_available"))
+            else:
+                whole = float(sum(self.have.values()) or 1)
+                have = have.select("level", (F.col("tokens_available") / F.lit(whole)).alias("target_share"), F.lit(None).cast("int").alias("max_repeats"), "tokens_available")
+            j = have.join(got, F.col("level").eqNullSafe(F.col("_l")), "left")
+            j = j.select(F.lit(m).alias("margin"), "level", "target_share", "max_repeats", "tokens_available", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("docs_used", "tokens", "most_repeats")])
+            out = j if out is None else out.unionByName(j)
+        out = cut(out, "shares")
+        total = out.where("margin = 'source'").agg(F.sum("tokens")).first()[0] or 0
+        return out.withColumn("actual_share", F.col("tokens") / F.lit(float(total)) if total else F.lit(0.0))

@@ -9,7 +9,7 @@ from ..session import cut, table
 from . import canon, leakage, mixture, residue, syntax
 
 #: The vocabulary file by which documents are sized.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,9 +67,8 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
-    # the topic of a document is the warehouse layer it names first
-    topic = F.regexp_extract("text", r"\b(raw|stg|core|dwh|mart|rpt)\.", 1)
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", topic.alias("topic"), "text")
+    # what a document is about is the repository it belongs to
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.col("repo_path").alias("topic"), "text")
     return mixture.Mixture(cut(mixture.token_counts(docs, TOKENIZER), "sizes"), table(spark, d, "mix_target"))
 
 
@@ -97,8 +96,9 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """Which test items leaked, into how many documents, and how much of them."""
-    return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max(F.col("covered") / F.col("item_words")).alias("most_covered"))
+    """Which test items leaked, and into how many documents; how much of them is
+    p7_coverage's."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -131,4 +131,5 @@ WITH w AS (SELECT doc_id AS k, [lower(x) for x in regexp_extract_all(text, '[A-Z
 
 ORACLE = {
     "p7_found": _WINDOWS + "SELECT DISTINCT dw.k AS doc_id, iw.k AS item_id FROM dw JOIN iw USING (g)",
+    "p7_items": _WINDOWS + "SELECT iw.k AS item_id, CAST(count(DISTINCT dw.k) AS BIGINT) AS n_docs FROM dw JOIN iw USING (g) GROUP BY 1",
 }
