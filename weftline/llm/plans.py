@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, rows_where, table
 from . import canon, leakage, mixture, residue, syntax
 
 #: The vocabulary file by which documents are sized.
@@ -38,25 +38,38 @@ def _current_texts(spark: SparkSession, d: str) -> DataFrame:
     return j.select("path", "repo_path", "dialect", "claimed", "claimed_cause", "content")
 
 
-_PARSED = "path string, repo_path string, dialect string, claimed boolean, claimed_cause string, cost int, n_statements int, n_bad int, kind string, parsed_as string"
+_FILE = "path string, repo_path string, dialect string, claimed boolean, claimed_cause string"
+_FOUND = "cost int, n_statements int, n_bad int, kind string, parsed_as string"
+#: Failing files whose repairs one task works out.
+REPAIRS = 8
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Files whose cheapest repair has a cost; how much it is, is p5_repairs'."""
     t = _current_texts(spark, d).select("path", "dialect", "content")
-    got = t.mapInPandas(syntax.parse_batches(False), "path string, dialect string, cost int, n_statements int, n_bad int, kind string, parsed_as string")
+    got = t.mapInPandas(syntax.parse_batches(False), f"path string, dialect string, {_FOUND}")
     return got.where("cost > 0").select("path").distinct()
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Every current file with its repair. Most files need none; the others,
+    whose charts are the work, are spread over tasks by their number."""
+    first = _current_texts(spark, d).mapInPandas(syntax.parse_batches(False, keep=True), f"{_FILE}, {_FOUND}, content string")
+    first = cut(first, "parsed", "cost > 0")
+    own = ["path", "repo_path", "dialect", "claimed", "claimed_cause"]
+    bad = first.where("cost > 0").select(*own, "content").repartition(rows_where(first) // REPAIRS + 1)
+    bad = bad.mapInPandas(syntax.parse_batches(True), f"{_FILE}, {_FOUND}, edits string, exact boolean")
+    return bad.unionByName(first.where("cost = 0").drop("content").withColumns({"edits": F.lit(""), "exact": F.lit(True)}))
+
+
 def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
-    got = _current_texts(spark, d).mapInPandas(syntax.parse_batches(True), _PARSED)
-    return got.where("cost > 0").select("path", "repo_path", "dialect", "parsed_as", "cost", "n_statements", "n_bad", "kind").distinct()
+    return _parsed(spark, d).where("cost > 0").select("path", "repo_path", "dialect", "parsed_as", "cost", "n_statements", "n_bad", "kind", "edits", "exact").distinct()
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     """Per repository and dialect: files, flagged files by kind, their rate, and
     what parse_failed claims beside it."""
-    got = _current_texts(spark, d).mapInPandas(syntax.parse_batches(True), _PARSED).dropDuplicates(["path"])
+    got = cut(_parsed(spark, d), "repaired").dropDuplicates(["path"])
     bad = F.col("cost") > 0
     n = lambda c: F.count(F.when(c, F.lit(1)))
     return got.groupBy("repo_path", "dialect").agg(
