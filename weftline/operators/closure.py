@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, is_empty, rows_where, rows_written
+from ..session import cut, planned_once, rows_where, rows_written
 from .skew import LEAST_HOT, hot_keys
 
 #: Hops of one round, that is between two written tables. Each is one shuffle of
@@ -80,7 +80,8 @@ def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, sr
         left = None if left is None else left - n
         # the parts of a hub carry the same depth
         new = s.where("part = 0").drop("part")
-        front = cut(new.join(seen.select(*by, "node"), [*by, "node"], "left_anti").select(*seen.columns), "reached", "fresh = 1")
+        with planned_once(edges.sparkSession):
+            front = cut(new.join(seen.select(*by, "node"), [*by, "node"], "left_anti").select(*seen.columns), "reached", "fresh = 1")
         seen = seen.unionByName(front)
     seen = seen.drop("fresh")
     return seen if keep_start else seen.where("depth > 0")
@@ -136,7 +137,8 @@ def levels(nodes: DataFrame, edges: DataFrame, hops: int = HOPS, least_hot: int
             {"need": "need", "level": "IF(need = 0 AND level IS NULL, turn, level)", "turn": "turn + 1"}, {"need": "CAST(-1 AS BIGINT)", "level": "CAST(NULL AS INT)", "turn": "turn + 1"},
             {"need": "sum(need)", "level": "max(level)", "turn": "max(turn)"},
         )
-        old, rest = rest, cut(s, "waiting", "level IS NULL")
+        with planned_once(edges.sparkSession):
+            old, rest = rest, cut(s, "waiting", "level IS NULL")
         if rows_where(rest) == rows_where(old) and rest.where("level IS NOT NULL").isEmpty():
             parts.append(rest)
             break

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, rows_where
-from .skew import LEAST_HOT, hot_keys, lookup_join
-
-#: Rounds of one-level peeling before the rest (the trunk: nodes taller than
-#: this, and all loops) is resolved by doubling.
-PEEL_ROUNDS = 6
+from ..session import cut, drop_cut, planned_once, rows_where, rows_written
+from .closure import HOPS, _Edges
+from .skew import LEAST_HOT
 
 
 def parent_links(edges: DataFrame, parent: str, child: str) -> DataFrame:
@@ -20,126 +17,102 @@ def parent_links(edges: DataFrame, parent: str, child: str) -> DataFrame:
     return e.where(F.col("node").isNotNull() & F.col("parent").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"))
 
 
-def _peel(rest: DataFrame, gone: DataFrame | None) -> DataFrame:
-    """Marks the rows of rest (node, parent, below) whose node is no one's
-    parent in rest, after adding to `below` the subtree sizes that the leaves
-    peeled in the round before hand to their parents. Both sides of the join
-    have unique keys, so no key is hot."""
-    kids = rest.select(F.col("parent").alias("_p"), F.lit(1).alias("_n"), F.lit(0).cast("long").alias("_w"))
-    if gone is not None:
-        kids = kids.unionByName(gone.select(F.col("parent").alias("_p"), F.lit(0).alias("_n"), (F.col("below") + 1).alias("_w")))
-    kids = kids.groupBy("_p").agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"))
-    j = rest.join(kids, F.col("node") == F.col("_p"), "left")
-    return j.select("node", "parent", (F.col("below") + F.coalesce("_w", F.lit(0))).alias("below"), (F.coalesce("_n", F.lit(0)) == 0).alias("leaf"))
-
-
-def _double(trunk: DataFrame, paths: bool) -> DataFrame:
-    """(node, root, depth, below[, path]) of every node of trunk (node, parent,
-    below). Each node knows the ancestor 2^k above it and the size of its
-    subtree down to less than 2^k levels; a round that brings no further node
-    to a root proves that the unresolved ones lead into loops: depth -1, root
-    the smallest key of the loop, below and path null."""
-    inside = trunk.select(F.col("node").alias("_t"))
-    cols = ["node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("dist"), F.col("node").alias("low"), (F.col("below") + 1).alias("size")]
-    if paths:
-        cols.append(F.array("parent").alias("up"))  # ancestors, nearest first
-    s = trunk.select(*cols).join(inside, F.col("jump") == F.col("_t"), "left").withColumn("done", F.col("_t").isNull()).drop("_t")
-    s = cut(s, "trunk", "not done")
-    left, rounds = rows_where(s), 0
-    while left:
-        t = s.select(F.col("node").alias("_t"), F.col("jump").alias("_j"), F.col("dist").alias("_d"), F.col("low").alias("_l"), F.col("done").alias("_e"), *([F.col("up").alias("_u")] if paths else []))
-        todo = s.where(~F.col("done"))
-        # fewer rows than make a key hot need no look
-        hot = hot_keys(todo, "jump") if left >= LEAST_HOT else []
-        nxt = lookup_join(todo, t, "jump", "_t", hot, "inner")
-        new = ["node", F.col("_j").alias("jump"), (F.col("dist") + F.col("_d")).alias("dist"), F.least("low", "_l").alias("low"), "size"]
-        if paths:
-            new.append(F.concat("up", "_u").alias("up"))
-        new.append(F.col("_e").alias("done"))
-        gives = todo.groupBy(F.col("jump").alias("_g")).agg(F.sum("size").alias("_s"))
-        every = nxt.select(*new).unionByName(s.where(F.col("done")))
-        every = every.join(gives, F.col("node") == F.col("_g"), "left").withColumn("size", F.col("size") + F.coalesce("_s", F.lit(0))).drop("_g", "_s")
-        old, s = s, cut(every, "trunk", "not done")
-        now, rounds = rows_where(s), rounds + 1
-        if now == left and s.where(~F.col("done")).count() == old.where(~F.col("done")).count():
-            drop_cut(old)
+def _peel(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Peels leaves bottom-up. Returns tables of what was peeled (node, parent -
+    null for a root -, below: size of its subtree without itself), and the rest
+    (node, parent), in which every node is a parent: exactly the nodes on loops.
+
+    Every node carries how many of its children are still to come. In a hop the
+    nodes that wait for none leave and send their subtree's size to their parent;
+    messages to one parent are summed before they are shuffled, so no parent is
+    too large. A round is 2, 4, 8 and then HOPS hops and one table; what has left
+    is not carried further."""
+    kind = links.schema["node"].dataType.simpleString()
+    kids = links.groupBy(F.col("parent").alias("_p")).agg(F.count(F.lit(1)).alias("kids"))
+    j = links.join(kids, F.col("node") == F.col("_p"), "full")
+    state = j.select(F.coalesce("node", "_p").alias("node"), "parent", F.coalesce("kids", F.lit(0)).cast("long").alias("kids"), F.lit(0).cast("long").alias("below"), F.lit(False).alias("gone"))
+    own = "struct(node, parent, kids, below, gone OR kids = 0 AS gone)"
+    message = f"struct(parent AS node, CAST(NULL AS {kind}) AS parent, CAST(-1 AS BIGINT) AS kids, below + 1 AS below, false AS gone)"
+    peeled: list[DataFrame] = []
+    rest, n = cut(state, "peel", "not gone"), 2
+    while rows_where(rest):
+        q = "SELECT node, parent, kids, below, gone FROM {state}"
+        for _ in range(n):
+            step = f"SELECT inline(IF(kids = 0 AND NOT gone AND parent IS NOT NULL, array({own}, {message}), array({own}))) FROM ({q})"
+            q = f"SELECT node, max(parent) AS parent, sum(kids) AS kids, sum(below) AS below, max(gone) AS gone FROM ({step}) GROUP BY node"
+        with planned_once(links.sparkSession):
+            rest = cut(links.sparkSession.sql(q, state=rest.where("not gone")), "peel", "not gone")
+        if rows_written(rest) == rows_where(rest):  # no leaf is left
             break
-        drop_cut(old)
-        left = now
-    ok = s.where("done").select("node", F.col("jump").alias("root"), F.col("dist").alias("depth"), (F.col("size") - 1).alias("below"), *([F.reverse(F.concat(F.array("node"), "up")).alias("path")] if paths else []))
-    if not left:
-        return ok
-    # the rest leads into loops: once a jump is at least as long as the way to
-    # the loop, the nodes still jumped to are exactly the loops' nodes
-    loop = cut(s.where(~F.col("done")).select("node", "jump", "low"), "loop")
-    while (1 << rounds) < left:
+        peeled.append(rest.where("gone").select("node", "parent", "below"))
+        n = min(HOPS, 2 * n)
+    return peeled, rest.where("not gone").select("node", "parent")
+
+
+def _loop_keys(rest: DataFrame) -> DataFrame:
+    """(node, root) of nodes on loops (node, parent): the smallest key on each
+    loop, by pointer doubling."""
+    loop = cut(rest.select("node", F.col("parent").alias("jump"), F.col("node").alias("low")), "loop")
+    left, reach = rows_written(loop), 1
+    while reach < left:
         t = loop.select(F.col("node").alias("_t"), F.col("jump").alias("_j"), F.col("low").alias("_l"))
-        hot = hot_keys(loop, "jump") if left >= LEAST_HOT else []
-        nxt = lookup_join(loop, t, "jump", "_t", hot, "inner").select("node", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"))
+        nxt = loop.join(t, F.col("jump") == F.col("_t")).select("node", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"))
         old, loop = loop, cut(nxt, "loop")
         drop_cut(old)
-        rounds += 1
-    on = loop.select(F.col("node").alias("_t"), F.col("low").alias("root"))
-    bad = lookup_join(loop.select("node", "jump"), on, "jump", "_t", hot_keys(loop, "jump"), "inner")
-    none = F.lit(None)
-    bad = bad.select("node", "root", F.lit(-1).cast("long").alias("depth"), none.cast("long").alias("below"), *([none.cast("array<string>").alias("path")] if paths else []))
-    return ok.unionByName(bad)
+        reach *= 2
+    return loop.select("node", F.col("low").alias("root"))
 
 
-def hierarchy(links: DataFrame, paths: bool = False, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
+def hierarchy(links: DataFrame, paths: bool = False, sizes: bool = True, least_hot: int = LEAST_HOT) -> DataFrame:
     """From (node, parent), node unique: one row per key on either end with
-    root, depth, n_descendants and, if asked, path (array from the root to the
-    node).
-
-    Leaves are peeled bottom-up, one level a round, each handing its subtree
-    size to its parent, until only the trunk is left; the peeled levels are then
-    put back in reverse order, each node taking root, depth and path from its
-    parent. For keys on a loop or below one depth is -1, root the smallest key
-    on the loop, path and n_descendants null. Empty links give no rows."""
+    root, depth, on_loop, with `sizes` n_descendants and with `paths` path (array
+    from the root to the node).
+
+    Leaves are peeled bottom-up, sending the sizes of their subtrees to their
+    parents, until nothing or only loops are left (_peel); then root, depth and
+    path are handed down again, from the roots, which left last, to their
+    children and so on, several levels a round. A parent of very many children is
+    split on the way down. For keys on a loop or below one depth is -1, root the
+    smallest key on the loop, path and n_descendants null. Empty links give no
+    rows."""
     base = cut(links.select("node", "parent"), "links")
-    hot = hot_keys(base, "parent")
-    rest, levels, gone = base.withColumn("below", F.lit(0).cast("long")), [], None
-    for _ in range(peel_rounds):
-        marked = cut(_peel(rest, gone), "peel", "leaf")
-        gone = marked.where("leaf").drop("leaf")
-        rest = marked.where(~F.col("leaf")).drop("leaf")
-        if not rows_where(marked):
-            break
-        levels.append(gone)
-    if gone is not None and levels and levels[-1] is gone:
-        # sizes of the last peeled level still have to reach the trunk
-        hands = gone.groupBy(F.col("parent").alias("_p")).agg(F.sum(F.col("below") + 1).alias("_w"))
-        rest = rest.join(hands, F.col("node") == F.col("_p"), "left").select("node", "parent", (F.col("below") + F.coalesce("_w", F.lit(0))).alias("below"))
-    extra = ["path"] if paths else []
-    trunk = _double(rest, False)
-    if paths:
-        # paths only once the loops are known: on a loop they would grow without end
-        trunk = cut(trunk, "found")
-        sound = rest.join(trunk.where("depth >= 0").select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_semi")
-        bad = trunk.where("depth < 0").withColumn("path", F.lit(None).cast("array<string>"))
-        trunk = _double(sound, True).unionByName(bad)
-    tops = base.select(F.col("parent").alias("_p")).distinct().join(base.select("node"), F.col("_p") == F.col("node"), "left_anti")
-    tops = tops.select(F.col("_p").alias("node"), F.col("_p").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("below"), *([F.array("_p").alias("path")] if paths else []))
-    parts = [cut(trunk.unionByName(tops), "got")]
-
-    def all_of(ps: list[DataFrame]) -> DataFrame:
-        out = ps[0]
-        for p in ps[1:]:
-            out = out.unionByName(p)
+    peeled, rest = _peel(base)
+    on = cut(_loop_keys(rest), "loops")
+    more = ["path"] if paths else []
+    top: DataFrame | None = None
+    for p in peeled:
+        x = p.where("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("on_loop"), *([F.array("node").alias("path")] if paths else []))
+        top = x if top is None else top.unionByName(x)
+    loop = on.select("node", "root", F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("on_loop"), *([F.lit(None).cast(f"array<{base.schema['node'].dataType.simpleString()}>").alias("path")] if paths else []))
+    top = loop if top is None else top.unionByName(loop)
+    front = cut(top.withColumns({"fresh": F.lit(1), "old": F.lit(0)}), "got", "fresh = 1")
+    parts = [front]
+    e = _Edges(base.join(on.select("node"), "node", "left_anti"), "parent", "node", least_hot)
+    down = {"root": "root", "depth": "IF(depth < 0, depth, depth + 1)", "on_loop": "false", "fresh": "1", "old": "0"} | ({"path": "concat(path, array(_d))"} if paths else {})
+    kept = {c: c for c in down} | {"fresh": "0"}
+    folds = {"root": "max(root)", "depth": "max(depth)", "on_loop": "max(on_loop)", "fresh": "min(fresh)", "old": "max(old)"} | ({"path": "max(path)"} if paths else {})
+    n = 4
+    while rows_where(front):
+        # a key has one parent, so each is reached once
+        s = e.parted(front.where("fresh = 1").withColumn("old", F.lit(1)))
+        with planned_once(links.sparkSession):
+            front = cut(e.hops(s, n, "fresh = 1", kept, down, folds).where("part = 0 AND old = 0").drop("part"), "got", "fresh = 1")
+        parts.append(front)
+        n = min(HOPS, 2 * n)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.select("node", "root", "depth", "on_loop", *more)
+    if not sizes:
         return out
-
-    for k in range(len(levels) - 1, -1, -1):
-        above = all_of(parts).select(F.col("node").alias("_a"), "root", "depth", *extra)
-        j = lookup_join(levels[k], above, "parent", "_a", hot, "inner")
-        down = F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + 1)
-        new = j.select("node", "root", down.alias("depth"), "below", *([F.concat("path", F.array("node")).alias("path")] if paths else []))
-        parts.append(cut(new, "level"))
-    got = all_of(parts)
-    # a root's descendants are the nodes that name it as root
-    under = got.where("depth > 0").groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("_c"))
-    tops = parts[0].where("depth = 0").join(under, F.col("node") == F.col("_r"), "left").withColumn("below", F.coalesce("_c", F.lit(0))).drop("_r", "_c")
-    out = all_of([tops, parts[0].where("depth <> 0"), *parts[1:]])
-    return out.select("node", "root", "depth", F.when(F.col("depth") >= 0, F.col("below")).alias("n_descendants"), *extra)
+    below = None
+    for p in peeled:
+        x = p.select(F.col("node").alias("_n"), "below")
+        below = x if below is None else below.unionByName(x)
+    if below is None:
+        return out.withColumn("n_descendants", F.lit(None).cast("long"))
+    j = out.join(below, F.col("node") == F.col("_n"), "left")
+    return j.select("node", "root", "depth", "on_loop", F.when(F.col("depth") >= 0, F.col("below")).alias("n_descendants"), *more)
 
 
 def descendants(h: DataFrame) -> DataFrame:
@@ -151,25 +124,9 @@ def descendants(h: DataFrame) -> DataFrame:
     return p.where(F.col("at") < F.col("depth")).select("ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
 
 
-def loops(h: DataFrame, links: DataFrame) -> DataFrame:
-    """(loop_key, n_nodes, n_keys_below) for every loop: its smallest key, the
-    nodes on it and the keys below it. A key is on the loop when it lies on the
-    way up from the loop's smallest key; that way is followed link by link."""
-    bad = cut(h.where("depth = -1").select("node", "root"), "bad")
-    up = bad.join(links.select(F.col("node").alias("_n"), "parent"), F.col("node") == F.col("_n")).drop("_n")
-    up = cut(up, "up")
-    front = up.where(F.col("node") == F.col("root")).select("root", F.col("parent").alias("at"), F.lit(1).cast("long").alias("n"))
-    closed: list[DataFrame] = []
-    while True:
-        front = cut(front, "front", "at <> root")
-        closed.append(front.where(F.col("at") == F.col("root")).select("root", "n"))
-        still = front.where(F.col("at") != F.col("root"))
-        if not rows_where(front):
-            break
-        step = up.select(F.col("node").alias("_n"), "parent")
-        front = still.join(step, F.col("at") == F.col("_n")).select("root", F.col("parent").alias("at"), (F.col("n") + 1).alias("n"))
-    size = closed[0]
-    for c in closed[1:]:
-        size = size.unionByName(c)
-    every = bad.groupBy(F.col("root").alias("loop_key")).agg(F.count(F.lit(1)).alias("_all"))
-    return every.join(size, F.col("loop_key") == F.col("root")).select("loop_key", F.col("n").alias("n_nodes"), (F.col("_all") - F.col("n")).alias("n_keys_below"))
+def loops(h: DataFrame) -> DataFrame:
+    """(loop_key, n_nodes, n_keys_below) of hierarchy()'s result for every loop:
+    its smallest key, the nodes on it and the keys below it."""
+    bad = h.where("depth = -1").groupBy(F.col("root").alias("loop_key"))
+    n = F.count(F.when(F.col("on_loop"), F.lit(1)))
+    return bad.agg(n.alias("n_nodes"), (F.count(F.lit(1)) - n).alias("n_keys_below"))

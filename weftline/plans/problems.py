@@ -49,7 +49,7 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    h = H.hierarchy(_links(spark, d))
+    h = H.hierarchy(_links(spark, d), sizes=False)
     return h.select(F.col("node").alias("node_key"), F.col("root").alias("root_key"), "depth")
 
 
@@ -59,14 +59,13 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    h = H.hierarchy(_links(spark, d), paths=True)
+    h = H.hierarchy(_links(spark, d), paths=True, sizes=False)
     p = H.descendants(h)
     return p.select(F.col("ancestor").alias("ancestor_key"), F.col("node").alias("node_key"), "distance")
 
 
 def p3_loops(spark: SparkSession, d: str) -> DataFrame:
-    links = cut(_links(spark, d), "links")
-    return H.loops(H.hierarchy(links), links)
+    return H.loops(H.hierarchy(_links(spark, d), sizes=False))
 
 
 def _ledger(spark: SparkSession) -> I.Ledger:

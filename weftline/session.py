@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -72,6 +74,20 @@ def cut(df: DataFrame, tag: str = "t", where: str = "true") -> DataFrame:
     return out
 
 
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """Inside, plans are not made again while they run. For a chain of many
+    equal shuffles: adaptive execution would plan the whole chain again after
+    each of them, at a cost that grows with the square of their number."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def rows_written(df: DataFrame) -> int:
     """Rows of a table made by cut(), as counted when it was written: never less
     than there are, more if a lost task was repeated. Good for choosing a way to
