@@ -174,25 +174,38 @@ def _rows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
 
 
-def statement_keys(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(r: DataFrame) -> DataFrame:
+    return cut(_keyed_texts(r), "statements")
+
+
+def statement_keys(rows: DataFrame, id_col: str, text_col: str, keyed: DataFrame | None = None) -> DataFrame:
     """(id, key): one row per distinct id with the key of its statement. An id
     with several texts counts with the one of the smallest hash. Rows without id
-    or text have no statement and are left out."""
+    or text have no statement and are left out. The texts are read twice: once to
+    be keyed, once to be hashed beside their ids."""
     r = _rows(rows, id_col, text_col)
-    keyed = _keyed_texts(r).select("h", "key")
-    ids = r.groupBy("id").agg(F.min(F.md5(F.col("text").cast("binary"))).alias("_h"))
+    keyed = (keyed if keyed is not None else _keyed(r)).select("h", "key")
+    ids = cut(r.groupBy("id").agg(F.min(F.md5(F.col("text").cast("binary"))).alias("_h")), "ids")
     # one text may be held by very many ids: that side of the join is the hot one
     return lookup_join(ids, keyed, "_h", "h", hot_keys(ids, "_h"), "inner").select("id", "key")
 
 
-def statement_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def statement_counts(rows: DataFrame, id_col: str, text_col: str, keyed: DataFrame | None = None) -> DataFrame:
     """(key, n_rows, n_texts): per statement the rows and the different layouts
     that hold it. Counts of byte-identical texts are summed, so a statement that
     holds a third of all rows arrives as few rows."""
-    k = _keyed_texts(_rows(rows, id_col, text_col))
+    k = keyed if keyed is not None else _keyed_texts(_rows(rows, id_col, text_col))
     return k.groupBy("key").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_texts"))
 
 
+def statements(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(keep_id, n_ids, n_rows, n_texts): one record per statement."""
+    keyed = _keyed(_rows(rows, id_col, text_col))
+    ids = statement_keys(rows, id_col, text_col, keyed).groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_ids"))
+    counts = statement_counts(rows, id_col, text_col, keyed).withColumnRenamed("key", "_k")
+    return ids.join(counts, F.col("key") == F.col("_k")).select("keep_id", "n_ids", "n_rows", "n_texts")
+
+
 def duplicate_ids(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(keep_id, copy_id): for each statement held by several ids, one row per
     id other than the smallest. Hot statements are joined without a shuffle."""

@@ -18,10 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_statements(spark: SparkSession, d: str) -> DataFrame:
     """One record per statement: smallest id, ids, rows and layouts."""
-    q = table(spark, d, "sql_query")
-    ids = canon.statement_keys(q, "id", "sql").groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_ids"))
-    counts = canon.statement_counts(q, "id", "sql").withColumnRenamed("key", "_k")
-    return ids.join(counts, F.col("key") == F.col("_k")).select("keep_id", "n_ids", "n_rows", "n_texts")
+    return canon.statements(table(spark, d, "sql_query"), "id", "sql")
 
 
 def _current_texts(spark: SparkSession, d: str) -> DataFrame:
