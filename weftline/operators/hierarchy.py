@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, drop_cut, planned_once, rows_where, rows_written
-from .closure import HOPS, _Edges
-from .skew import LEAST_HOT
+from .closure import HOPS
+from .skew import LEAST_HOT, hot_keys, lookup_join
 
 
 def parent_links(edges: DataFrame, parent: str, child: str) -> DataFrame:
@@ -63,6 +63,32 @@ def _loop_keys(rest: DataFrame) -> DataFrame:
     return loop.select("node", F.col("low").alias("root"))
 
 
+def _hand_down(links: DataFrame, paths: bool, least_hot: int) -> DataFrame:
+    """(node, root, depth[, path]) of every child in links without loops, by
+    pointer doubling: a node knows the ancestor 2^k above it, and takes over what
+    that one knows until it is a root. Ancestors of very many nodes are split."""
+    inside = links.select(F.col("node").alias("_t"))
+    up = [F.array("parent").alias("up")] if paths else []  # ancestors, nearest first
+    s = links.select("node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("dist"), *up)
+    s = cut(s.join(inside, F.col("jump") == F.col("_t"), "left").withColumn("done", F.col("_t").isNull()).drop("_t"), "down", "not done")
+    done = [s.where("done")]
+    while rows_where(s):
+        todo = s.where("not done")
+        # an ancestor that is done already is in an earlier table
+        known = todo
+        for x in done:
+            known = known.unionByName(x)
+        t = known.select(F.col("node").alias("_t"), F.col("jump").alias("_j"), F.col("dist").alias("_d"), F.col("done").alias("_e"), *([F.col("up").alias("_u")] if paths else []))
+        hot = hot_keys(todo, "jump", least=least_hot) if rows_where(s) >= least_hot else []
+        j = lookup_join(todo, t, "jump", "_t", hot, "inner")
+        s = cut(j.select("node", F.col("_j").alias("jump"), (F.col("dist") + F.col("_d")).alias("dist"), *([F.concat("up", "_u").alias("up")] if paths else []), F.col("_e").alias("done")), "down", "not done")
+        done.append(s.where("done"))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.select("node", F.col("jump").alias("root"), F.col("dist").alias("depth"), *([F.reverse(F.concat(F.array("node"), "up")).alias("path")] if paths else []))
+
+
 def hierarchy(links: DataFrame, paths: bool = False, sizes: bool = True, least_hot: int = LEAST_HOT) -> DataFrame:
     """From (node, parent), node unique: one row per key on either end with
     root, depth, on_loop, with `sizes` n_descendants and with `paths` path (array
@@ -70,39 +96,25 @@ def hierarchy(links: DataFrame, paths: bool = False, sizes: bool = True, least_h
 
     Leaves are peeled bottom-up, sending the sizes of their subtrees to their
     parents, until nothing or only loops are left (_peel); then root, depth and
-    path are handed down again, from the roots, which left last, to their
-    children and so on, several levels a round. A parent of very many children is
-    split on the way down. For keys on a loop or below one depth is -1, root the
-    smallest key on the loop, path and n_descendants null. Empty links give no
-    rows."""
+    path are handed down (_hand_down). For keys on a loop or below one depth is
+    -1, root the smallest key on the loop, path and n_descendants null. Empty
+    links give no rows."""
     base = cut(links.select("node", "parent"), "links")
     peeled, rest = _peel(base)
     on = cut(_loop_keys(rest), "loops")
     more = ["path"] if paths else []
-    top: DataFrame | None = None
+    # a node on a loop stands for the top of what hangs below the loop
+    got = _hand_down(base.join(on.select("node"), "node", "left_anti"), paths, least_hot)
+    top = on.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *([F.array("node").alias("path")] if paths else []))
     for p in peeled:
-        x = p.where("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("on_loop"), *([F.array("node").alias("path")] if paths else []))
-        top = x if top is None else top.unionByName(x)
-    loop = on.select("node", "root", F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("on_loop"), *([F.lit(None).cast(f"array<{base.schema['node'].dataType.simpleString()}>").alias("path")] if paths else []))
-    top = loop if top is None else top.unionByName(loop)
-    front = cut(top.withColumns({"fresh": F.lit(1), "old": F.lit(0)}), "got", "fresh = 1")
-    parts = [front]
-    e = _Edges(base.join(on.select("node"), "node", "left_anti"), "parent", "node", least_hot)
-    down = {"root": "root", "depth": "IF(depth < 0, depth, depth + 1)", "on_loop": "false", "fresh": "1", "old": "0"} | ({"path": "concat(path, array(_d))"} if paths else {})
-    kept = {c: c for c in down} | {"fresh": "0"}
-    folds = {"root": "max(root)", "depth": "max(depth)", "on_loop": "max(on_loop)", "fresh": "min(fresh)", "old": "max(old)"} | ({"path": "max(path)"} if paths else {})
-    n = 4
-    while rows_where(front):
-        # a key has one parent, so each is reached once
-        s = e.parted(front.where("fresh = 1").withColumn("old", F.lit(1)))
-        with planned_once(links.sparkSession):
-            front = cut(e.hops(s, n, "fresh = 1", kept, down, folds).where("part = 0 AND old = 0").drop("part"), "got", "fresh = 1")
-        parts.append(front)
-        n = min(HOPS, 2 * n)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.select("node", "root", "depth", "on_loop", *more)
+        top = top.unionByName(p.where("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *([F.array("node").alias("path")] if paths else [])))
+    loop = on.select(F.col("node").alias("_t"), F.col("root").alias("_low"))
+    j = lookup_join(got.unionByName(top), loop, "root", "_t", None if rows_written(on) else [])
+    bad = F.col("_t").isNotNull()
+    out = j.select(
+        "node", F.coalesce("_low", "root").alias("root"), F.when(bad, -1).otherwise(F.col("depth")).cast("long").alias("depth"), (bad & (F.col("depth") == 0)).alias("on_loop"),
+        *([F.when(~bad, F.col("path")).alias("path")] if paths else []),
+    )
     if not sizes:
         return out
     below = None
