@@ -18,7 +18,7 @@ def parent_links(edges: DataFrame, parent: str, child: str) -> DataFrame:
 
 
 def _peel(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Peels leaves bottom-up. Returns tables of what was peeled (node, parent -
+    """Peels leaves of (node, parent) - numbers - bottom-up. Returns tables of what was peeled (node, parent -
     null for a root -, below: size of its subtree without itself), and the rest
     (node, parent), in which every node is a parent: exactly the nodes on loops.
 
@@ -34,25 +34,26 @@ def _peel(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     own = "struct(node, parent, kids, below, gone OR kids = 0 AS gone)"
     message = f"struct(parent AS node, CAST(NULL AS {kind}) AS parent, CAST(-1 AS BIGINT) AS kids, below + 1 AS below, false AS gone)"
     peeled: list[DataFrame] = []
-    rest, n = cut(state, "peel", "not gone"), 2
-    while rows_where(rest):
+    rest, n = state, 2
+    while not peeled or rows_where(rest):
         q = "SELECT node, parent, kids, below, gone FROM {state}"
         for _ in range(n):
             step = f"SELECT inline(IF(kids = 0 AND NOT gone AND parent IS NOT NULL, array({own}, {message}), array({own}))) FROM ({q})"
             q = f"SELECT node, max(parent) AS parent, sum(kids) AS kids, sum(below) AS below, max(gone) AS gone FROM ({step}) GROUP BY node"
         with planned_once(links.sparkSession):
             rest = cut(links.sparkSession.sql(q, state=rest.where("not gone")), "peel", "not gone")
-        if rows_written(rest) == rows_where(rest):  # no leaf is left
+        if peeled and rows_written(rest) == rows_where(rest):  # no leaf is left
             break
         peeled.append(rest.where("gone").select("node", "parent", "below"))
         n = min(HOPS, 2 * n)
     return peeled, rest.where("not gone").select("node", "parent")
 
 
-def _loop_keys(rest: DataFrame) -> DataFrame:
-    """(node, root) of nodes on loops (node, parent): the smallest key on each
+def _loop_keys(rest: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, low) of nodes on loops (node, parent): the smallest key on each
     loop, by pointer doubling."""
-    loop = cut(rest.select("node", F.col("parent").alias("jump"), F.col("node").alias("low")), "loop")
+    x = rest.join(names, F.col("node") == F.col("id"))
+    loop = cut(x.select("node", F.col("parent").alias("jump"), F.col("key").alias("low")), "loop")
     left, reach = rows_written(loop), 1
     while reach < left:
         t = loop.select(F.col("node").alias("_t"), F.col("jump").alias("_j"), F.col("low").alias("_l"))
@@ -60,15 +61,15 @@ def _loop_keys(rest: DataFrame) -> DataFrame:
         old, loop = loop, cut(nxt, "loop")
         drop_cut(old)
         reach *= 2
-    return loop.select("node", F.col("low").alias("root"))
+    return loop.select("node", "low")
 
 
 def _hand_down(links: DataFrame, paths: bool, least_hot: int) -> DataFrame:
-    """(node, root, depth[, path]) of every child in links without loops, by
+    """(node, root, depth[, up]) of every child in links without loops, by
     pointer doubling: a node knows the ancestor 2^k above it, and takes over what
     that one knows until it is a root. Ancestors of very many nodes are split."""
     inside = links.select(F.col("node").alias("_t"))
-    up = [F.array("parent").alias("up")] if paths else []  # ancestors, nearest first
+    up = [F.array("parent_key").alias("up")] if paths else []  # ancestors, nearest first
     s = links.select("node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("dist"), *up)
     s = cut(s.join(inside, F.col("jump") == F.col("_t"), "left").withColumn("done", F.col("_t").isNull()).drop("_t"), "down", "not done")
     done = [s.where("done")]
@@ -86,7 +87,7 @@ def _hand_down(links: DataFrame, paths: bool, least_hot: int) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("node", F.col("jump").alias("root"), F.col("dist").alias("depth"), *([F.reverse(F.concat(F.array("node"), "up")).alias("path")] if paths else []))
+    return out.select("node", F.col("jump").alias("root"), F.col("dist").alias("depth"), *(["up"] if paths else []))
 
 
 def hierarchy(links: DataFrame, paths: bool = False, sizes: bool = True, least_hot: int = LEAST_HOT) -> DataFrame:
@@ -99,32 +100,40 @@ def hierarchy(links: DataFrame, paths: bool = False, sizes: bool = True, least_h
     path are handed down (_hand_down). For keys on a loop or below one depth is
     -1, root the smallest key on the loop, path and n_descendants null. Empty
     links give no rows."""
-    base = cut(links.select("node", "parent"), "links")
-    peeled, rest = _peel(base)
-    on = cut(_loop_keys(rest), "loops")
-    more = ["path"] if paths else []
+    raw = cut(links.select("node", "parent"), "links")
+    big = rows_written(raw) >= least_hot
+    hot = hot_keys(raw, "parent", least=least_hot) if big else []
+    # keys become numbers: small rows, and sums without sorting
+    names = raw.select(F.col("node").alias("key")).union(raw.select("parent")).distinct().withColumn("id", F.monotonically_increasing_id())
+    names = cut(names, "names")
+    to = lambda k, i: names.select(F.col("key").alias(k), F.col("id").alias(i))
+    base = lookup_join(raw.join(to("_n", "_i"), F.col("node") == F.col("_n")), to("_p", "_j"), "parent", "_p", hot, "inner")
+    base = cut(base.select(F.col("_i").alias("node"), F.col("_j").alias("parent"), *([F.col("parent").alias("parent_key")] if paths else [])), "numbered")
+    peeled, rest = _peel(base.select("node", "parent"))
+    on = cut(_loop_keys(rest, names), "loops")
     # a node on a loop stands for the top of what hangs below the loop
     got = _hand_down(base.join(on.select("node"), "node", "left_anti"), paths, least_hot)
-    top = on.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *([F.array("node").alias("path")] if paths else []))
+    none = [F.array().cast(got.schema["up"].dataType).alias("up")] if paths else []
+    tops = on.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *none)
     for p in peeled:
-        top = top.unionByName(p.where("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *([F.array("node").alias("path")] if paths else [])))
-    loop = on.select(F.col("node").alias("_t"), F.col("root").alias("_low"))
-    j = lookup_join(got.unionByName(top), loop, "root", "_t", None if rows_written(on) else [])
+        tops = tops.unionByName(p.where("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *none))
+    got = cut(got.unionByName(tops), "found")
+    roots = hot_keys(got, "root", least=least_hot) if big else []
+    j = lookup_join(got, to("root_key", "_r"), "root", "_r", roots, "inner").join(to("key", "_i"), F.col("node") == F.col("_i"))
+    j = lookup_join(j, on.select(F.col("node").alias("_t"), F.col("low").alias("_low")), "root", "_t", [])
     bad = F.col("_t").isNotNull()
-    out = j.select(
-        "node", F.coalesce("_low", "root").alias("root"), F.when(bad, -1).otherwise(F.col("depth")).cast("long").alias("depth"), (bad & (F.col("depth") == 0)).alias("on_loop"),
-        *([F.when(~bad, F.col("path")).alias("path")] if paths else []),
+    more = [F.when(~bad, F.reverse(F.concat(F.array("key"), "up"))).alias("path")] if paths else []
+    j = j.select(
+        F.col("node").alias("_n"), F.col("key").alias("node"), F.coalesce("_low", "root_key").alias("root"), F.when(bad, -1).otherwise(F.col("depth")).cast("long").alias("depth"),
+        (bad & (F.col("depth") == 0)).alias("on_loop"), *more,
     )
     if not sizes:
-        return out
-    below = None
-    for p in peeled:
-        x = p.select(F.col("node").alias("_n"), "below")
-        below = x if below is None else below.unionByName(x)
-    if below is None:
-        return out.withColumn("n_descendants", F.lit(None).cast("long"))
-    j = out.join(below, F.col("node") == F.col("_n"), "left")
-    return j.select("node", "root", "depth", "on_loop", F.when(F.col("depth") >= 0, F.col("below")).alias("n_descendants"), *more)
+        return j.drop("_n")
+    below = peeled[0].select(F.col("node").alias("_i"), "below")
+    for p in peeled[1:]:
+        below = below.unionByName(p.select(F.col("node").alias("_i"), "below"))
+    j = j.join(below, F.col("_n") == F.col("_i"), "left")
+    return j.select("node", "root", "depth", "on_loop", F.when(F.col("depth") >= 0, F.col("below")).alias("n_descendants"), *(["path"] if paths else []))
 
 
 def descendants(h: DataFrame) -> DataFrame:
