@@ -36,7 +36,7 @@ def chain_graph(spark):
 @pytest.fixture
 def run(spark, monkeypatch):
     g = chain_graph(spark)
-    monkeypatch.setattr(G, "load_graph", lambda s, d, texts=False: g)
+    monkeypatch.setattr(G, "load_graph", lambda s, d, texts=False, settled=(): g)
     return lambda name, *cols: rows(G.QUERIES[name](spark, "none"), *cols)
 
 

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..session import cut, planned_once, rows_where, rows_written
 from .skew import LEAST_HOT, hot_keys
 
-#: Hops of one round, that is between two written tables. Each is one shuffle of
-#: the nodes of the round; the edges are shuffled once a round.
+#: Most hops of one round, that is between two written tables. Each is one
+#: shuffle of the nodes of the round; the edges are shuffled once a round.
 HOPS = 16
+#: Hops of the first round; each round has twice as many as the one before, so
+#: shallow graphs are done soon and deep ones take few tables.
+FIRST_HOPS = 4
 #: Parts into which the edges of a hub node are split.
 PARTS = 32
 
@@ -64,18 +67,19 @@ def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, sr
     With `by` (columns of start) that holds for each of its values by itself,
     and the result has these columns first.
 
-    A round takes `hops` hops from the nodes reached last, one shuffle each, and
-    writes what was not seen before to the shared folder. So a lost executor
-    costs one round, and there are as many tables as the depth of the graph
-    divided by `hops`. Hub nodes are split. Loops end because nodes seen before
+    A round takes 4, 8 and then `hops` hops from the nodes reached last, one
+    shuffle each, and writes what was not seen before to the shared folder. So a
+    lost executor costs one round, and there are about as many tables as the
+    depth of the graph divided by `hops`. Hub nodes are split. Loops end because nodes seen before
     are not taken again; null ends lead nowhere."""
     e = _Edges(edges, src, dst, least_hot)
     first = start.select(*by, "node").where(F.col("node").isNotNull()).distinct()
     # fresh rows were reached in the last hop
     seen = cut(first.select(*by, "node", F.lit(0).alias("depth"), F.lit(1).alias("fresh")), "reached", "fresh = 1")
-    front, left = seen, max_depth
+    front, left, most = seen, max_depth, min(FIRST_HOPS, hops)
     while rows_where(front) and (left is None or left > 0):
-        n = hops if left is None else min(hops, left)
+        n = most if left is None else min(most, left)
+        most = min(hops, 2 * most)
         s = e.hops(e.parted(front.where("fresh = 1")), n, "fresh = 1", {"depth": "depth", "fresh": "0"}, {"depth": "depth + 1", "fresh": "1"}, {"depth": "min(depth)", "fresh": "min(fresh)"}, by)
         left = None if left is None else left - n
         # the parts of a hub carry the same depth
@@ -121,7 +125,8 @@ def levels(nodes: DataFrame, edges: DataFrame, hops: int = HOPS, least_hot: int
 
     Every node carries how many of its predecessors are still to come; in a hop
     the nodes that wait for none take the next level and count one off at each
-    node behind them. A round is `hops` hops and one table of what still waits."""
+    node behind them. A round is 4, 8 and then `hops` hops and one table of what
+    still waits."""
     n = nodes.select("node").where(F.col("node").isNotNull()).distinct()
     e = edges.where(F.col("src") != F.col("dst")).select("src", "dst")
     e = e.join(n.select(F.col("node").alias("src")), "src", "left_semi").join(n.select(F.col("node").alias("dst")), "dst", "left_semi")
@@ -130,13 +135,15 @@ def levels(nodes: DataFrame, edges: DataFrame, hops: int = HOPS, least_hot: int
     rest = e.parted(n.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).cast("long").alias("need"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("turn")))
     rest = cut(rest, "waiting", "level IS NULL")
     parts: list[DataFrame] = []
+    most = min(FIRST_HOPS, hops)
     while rows_where(rest):
         # `turn` is the level the next hop gives; it is the same in all rows
         s = e.hops(
-            rest.where("level IS NULL"), hops, "need = 0 AND level IS NULL",
+            rest.where("level IS NULL"), most, "need = 0 AND level IS NULL",
             {"need": "need", "level": "IF(need = 0 AND level IS NULL, turn, level)", "turn": "turn + 1"}, {"need": "CAST(-1 AS BIGINT)", "level": "CAST(NULL AS INT)", "turn": "turn + 1"},
             {"need": "sum(need)", "level": "max(level)", "turn": "max(turn)"},
         )
+        most = min(hops, 2 * most)
         with planned_once(edges.sparkSession):
             old, rest = rest, cut(s, "waiting", "level IS NULL")
         if rows_where(rest) == rows_where(old) and rest.where("level IS NOT NULL").isEmpty():
