@@ -96,6 +96,10 @@ def test_free_sql_is_read_only(spark):
     assert G.execute_sql(spark, g, "SELECT * FROM t").count() == 3
     assert G.execute_sql(spark, g, "WITH x AS (SELECT id FROM t) SELECT 'insert into' AS s FROM x LIMIT 2").count() == 2
     assert G.execute_sql(spark, g, "SELECT id FROM t UNION SELECT 9", limit=2).count() == 2
+    spark.range(7).createOrReplaceTempView("t")  # a view of the caller's
+    assert G.execute_sql(spark, {"t": spark.range(3), "u9": spark.range(1)}, "SELECT * FROM t").count() == 3
+    assert spark.table("t").count() == 7 and not spark.catalog.tableExists("u9")
+    spark.catalog.dropTempView("t")
     for bad in ("DROP TABLE t", "INSERT INTO t VALUES (1)", "CREATE TABLE z AS SELECT 1", "SET a=1", "ALTER TABLE t ADD COLUMN x INT", "TRUNCATE TABLE t", "MERGE INTO t USING t s ON t.id = s.id WHEN MATCHED THEN DELETE", "CACHE TABLE t", "BEGIN SELECT 1; END"):
         with pytest.raises(ValueError):
             G.execute_sql(spark, g, bad)

@@ -110,3 +110,14 @@ def test_relations_and_increment(spark):
     for k in full:
         assert rows(inc[k]) == rows(full[k]), k
     assert T.extract_files(f1.limit(0)).collect() == []
+
+
+def test_long_chains_of_clones(spark):
+    n = 40
+    st = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(n)] + [("l1", "l2"), ("l2", "l1"), ("x", "nowhere"), ("t3", "t9"), ("none", "")], "target_table string, donor string")
+    cat = spark.createDataFrame([(f"t{n}", 0, "a"), (f"t{n}", 1, "b"), ("t20", 0, "own")], "qualified string, pos int, col_name string")
+    got = {}
+    for r in T.clones(st, cat).collect():
+        got.setdefault(r["qualified"], []).append(r["col_name"])
+    assert {k: sorted(v) for k, v in got.items()} == {f"t{i}": ["own"] if i < 20 else ["a", "b"] for i in range(n) if i != 20}
+    assert T.clones(st.limit(0), cat).collect() == []

@@ -87,6 +87,8 @@ def test_page(spark):
     with pytest.raises(ValueError):
         K.html_page(n, n, most=1)
     assert json.loads(K.as_json(n.limit(1))[0])["schema"] == "s"
+    with pytest.raises(ValueError):
+        K.as_json(spark.range(3), most=2)
 
 
 def test_streams(spark, tmp_path):

@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dominant_causes, skip_counts
 from ..operators import merge as M
-from ..session import cut, ship
+from ..session import cut, rows_where, rows_written, ship
 
 if TYPE_CHECKING:
     import pandas as pd
 
-#: Characters of a statement that are kept with it.
-KEPT = 500
-#: Most hops along which a clone takes the columns of what it was cloned from.
-CLONE_HOPS = 16
 
 _EDGE = "struct<src_table:string,src_col:string,dst_table:string,dst_col:string,transform:string,confidence:double,ordinal:int,fallback:string>"
 _ROW = f"""path string, statement_index long, kind string, sql string, start_line long, target_table string, role string, parsing_mode string, confidence double, parse_failed boolean,
@@ -48,7 +44,7 @@ def extract_files(files: DataFrame, aliases: dict[str, str] | None = None) -> Da
                     got = [Out(0, "OTHER", text, 1, parse_failed=True, errors=[f"worker_error:{type(e).__name__}:{e}"])]
                 for o in got:
                     edges = [(e.src_table, e.src_col, e.dst_table, e.dst_col, e.transform, e.confidence, e.ordinal, e.fallback) for e in o.edges]
-                    rows.append((path, o.index, o.kind, o.sql[:KEPT], o.line, o.target, o.role, o.mode, o.confidence, o.parse_failed, o.reads, [dict(zip(_FIELDS, e)) for e in edges], [{"tab": t, "qualifier": q} for t, q in o.stars], [{"dst_col": d, "bare_col": c} for d, c in o.bare], o.columns, o.donor, o.errors))
+                    rows.append((path, o.index, o.kind, o.sql, o.line, o.target, o.role, o.mode, o.confidence, o.parse_failed, o.reads, [dict(zip(_FIELDS, e)) for e in edges], [{"tab": t, "qualifier": q} for t, q in o.stars], [{"dst_col": d, "bare_col": c} for d, c in o.bare], o.columns, o.donor, o.errors))
             yield pd.DataFrame(rows, columns=names)
 
     return f.mapInPandas(run, _ROW)
@@ -81,23 +77,19 @@ def ddl_columns(st: DataFrame) -> DataFrame:
 
 def clones(st: DataFrame, catalog: DataFrame) -> DataFrame:
     """(qualified, pos, col_name) for tables made by CLONE or LIKE: the columns
-    of the first table along the chain that has any, at most CLONE_HOPS away;
-    chains that end in a loop give none."""
+    of the first table along the chain that has any, found by pointer doubling;
+    chains that end in a loop, or at a table without columns, give none."""
     d = st.where(F.col("donor") != "").groupBy(F.col("target_table").alias("qualified")).agg(F.min("donor").alias("donor"))
     have = catalog.select(F.col("qualified").alias("_h")).distinct()
-    open_ = cut(d.join(have, F.col("qualified") == F.col("_h"), "left_anti"), "clones")
-    link = open_.select(F.col("qualified").alias("_q"), F.col("donor").alias("_d"))
-    done: DataFrame | None = None
-    for _ in range(CLONE_HOPS):
-        hit = open_.join(have, F.col("donor") == F.col("_h"), "left_semi")
-        done = hit if done is None else done.unionByName(hit)
-        rest = open_.join(have, F.col("donor") == F.col("_h"), "left_anti")
-        open_ = cut(rest.join(link, F.col("donor") == F.col("_q")).select("qualified", F.col("_d").alias("donor")), "clones")
-        if open_.isEmpty():
-            break
-    assert done is not None
+    s = d.join(have, F.col("qualified") == F.col("_h"), "left_anti").join(have, F.col("donor") == F.col("_h"), "left")
+    s = cut(s.select("qualified", "donor", F.col("_h").isNotNull().alias("found")), "clones", "not found")
+    n, reach = rows_written(s), 1
+    while rows_where(s) and reach < 2 * n:
+        t = s.select(F.col("qualified").alias("_q"), F.col("donor").alias("_d"), F.col("found").alias("_f"))
+        nxt = s.where("not found").join(t, F.col("donor") == F.col("_q")).select("qualified", F.col("_d").alias("donor"), F.col("_f").alias("found"))
+        s, reach = cut(s.where("found").unionByName(nxt), "clones", "not found"), 2 * reach
     c = catalog.select(F.col("qualified").alias("donor"), "pos", "col_name")
-    return done.join(c, "donor").select("qualified", "pos", "col_name")
+    return s.where("found").join(c, "donor").select("qualified", "pos", "col_name")
 
 
 def second_pass(st: DataFrame) -> DataFrame:

@@ -161,7 +161,8 @@ MOST_ORDERED = 50_000
 
 
 def rebuild_order(nodes: DataFrame, edges: DataFrame) -> tuple[list[str], bool]:
-    """Kahn's order on the driver, for at most MOST_ORDERED tables: ready tables
+    """Kahn's order on the driver, for at most MOST_ORDERED tables and twenty times
+    as many edges: ready tables
     in sorted order, first in first out; on a loop the rest follows in input
     order and the flag is true. levels() is the form without a bound."""
     from collections import deque
@@ -174,7 +175,10 @@ def rebuild_order(nodes: DataFrame, edges: DataFrame) -> tuple[list[str], bool]:
     pairs = edges.where(F.col("src") != F.col("dst")).join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
     after: dict[str, set[str]] = {}
     need = dict.fromkeys(names, 0)
-    for a, b in pairs.select("src", "dst").distinct().toLocalIterator():
+    got_pairs = pairs.select("src", "dst").distinct().limit(20 * MOST_ORDERED + 1).collect()
+    if len(got_pairs) > 20 * MOST_ORDERED:
+        raise ValueError(f"more than {20 * MOST_ORDERED} edges: use levels()")
+    for a, b in got_pairs:
         if a in here and b in here:
             after.setdefault(a, set()).add(b)
             need[b] += 1

@@ -351,9 +351,18 @@ def execute_sql(spark: SparkSession, g: Graph, query: str, limit: int = SQL_LIMI
     writes = ("Command", "Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Replace", "Truncate", "Set", "Cache", "Refresh", "Load", "Compound", "Execute", "Call", "Add", "Rename", "Comment", "Analyze", "Repair")
     if any(n.startswith(writes) or n.endswith("Command") for n in names if not n.startswith("SetOperation")) or "UnresolvedTableValuedFunction" in names and re.search(r"(?i)\bread_files\b", query):
         raise ValueError("only queries are allowed")
+    # the caller's own views of these names come back once the query is resolved
+    own = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in g}
     for k, df in g.items():
         df.createOrReplaceTempView(k)
-    out = spark.sql(query)
+    try:
+        out = spark.sql(query)
+    finally:
+        for k in g:
+            if k in own:
+                own[k].createOrReplaceTempView(k)
+            else:
+                spark.catalog.dropTempView(k)
     return out if {"GlobalLimit", "LocalLimit"} & set(names) else out.limit(limit)
 
 

@@ -71,13 +71,16 @@ def freshness(store: GraphStore, head_sha: str | None, commits_behind: int | Non
 
 
 def html_page(nodes: DataFrame, links: DataFrame, most: int = 50_000) -> str:
-    """One page with the graph baked in, for at most `most` tables: nodes (id,
-    schema, kind, deg, cat), links (source, target, n), neighbours."""
+    """One page with the graph baked in, for at most `most` tables and ten times
+    as many links (more is an error): nodes (id, schema, kind, deg, cat), links
+    (source, target, n), neighbours."""
     n = [json.loads(r[0]) for r in nodes.orderBy("id").limit(most + 1).select(F.to_json(F.struct("*"))).collect()]
     if len(n) > most:
         raise ValueError(f"more than {most} tables: pick a part of the graph")
     ids = {x["id"] for x in n}
-    e = [json.loads(r[0]) for r in links.orderBy("source", "target").select(F.to_json(F.struct("*"))).toLocalIterator()]
+    e = [json.loads(r[0]) for r in links.orderBy("source", "target").limit(10 * most + 1).select(F.to_json(F.struct("*"))).collect()]
+    if len(e) > 10 * most:
+        raise ValueError(f"more than {10 * most} links: pick a part of the graph")
     adj: dict[str, set[str]] = {}
     for x in e:
         adj.setdefault(x["source"], set()).add(x["target"])
@@ -92,6 +95,15 @@ li.onclick=()=>{{d.textContent=(G.adj[n.id]||[]).join('\\n')}};l.appendChild(li)
 document.getElementById('q').oninput=show;show();</script>"""
 
 
-def as_json(df: DataFrame) -> list[str]:
-    """Rows as JSON text, for reports of few rows."""
-    return [r[0] for r in df.limit(10_000).select(F.to_json(F.struct("*"))).collect()]
+def as_json(df: DataFrame, most: int = 10_000) -> list[str]:
+    """Rows as JSON text, for reports of at most `most` rows; more is an error:
+    write_json() has no bound."""
+    got = [r[0] for r in df.limit(most + 1).select(F.to_json(F.struct("*"))).collect()]
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows: use write_json()")
+    return got
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """All rows as files of JSON lines."""
+    df.write.json(path)
