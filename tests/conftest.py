@@ -17,6 +17,8 @@ def spark():
     from weftline.session import drop_all, local_session
 
     s = local_session(4, partitions=2, memory="4g")
+    # tiny tables: compiling a plan takes longer than running it
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     yield s
     drop_all(s)
     s.stop()
