@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from weftline.llm import syntax as S
@@ -160,3 +161,63 @@ def test_long_cut_off_statements_are_truncated():
     assert cost[1] - cost[0] == 6
     assert verdict(part * 12, "ansi")[2] == "truncated"
     assert verdict("SELECT a FROM t;\n" * 3 + part * 12, "ansi")[:3] == (cost[1], 1, "truncated")
+
+
+def test_long_statements_are_repaired_as_short_ones():
+    """More elements of the same kind change neither the cost nor what is edited:
+    places are those of tokens and costs those of tokens at every length."""
+    for items, tail in (("f(c, 1) AS x", " b c d e FROM t WHERE ( g(a, ( b, 2)"), ("a", ", FROM t GROUP a b"), ("t.a + 1", " FROM u WHERE a IN (SELECT b, c FROM")):
+        unit = len(S._file_tokens(items + ",", "ansi")[0])
+        got = {}
+        for n in (14, 160, 700):
+            s = S._file_tokens("SELECT " + ", ".join([items] * n) + tail, "ansi")[0]
+            shape = S._file_shapes(["SELECT " + ", ".join([items] * n) + tail], "ansi")[0][0]
+            cost, before, after, edits, _ = S.repair(shape, "ansi", s)
+            assert cost == len(edits)
+            got[n] = (cost, before, after, [(k, p - unit * n) for k, p in edits])
+        assert len(s) > 1200 and got[14] == got[160] == got[700], items
+
+
+def test_folding_keeps_the_least_cost(monkeypatch):
+    """Texts with repeated elements, damaged at random: with few copies in the
+    chart the cost and shares are those of the chart of all tokens, and edits are
+    in order and as many as the cost."""
+    import random
+
+    r = random.Random(7)
+    g = S.grammar(False)
+    start = g.starts["ansi"]
+    units = ["a", "1", "f(a, 1)", "a b", "(1, 2)", "a = 1", "a, 1", "(a, a, a, a, a, a, a)"]
+    heads = ["SELECT ", "INSERT INTO t VALUES ", "SELECT a FROM ", "UPDATE t SET ", "CREATE TABLE t (", "SELECT f(", "SELECT a FROM t LIMIT "]
+    some = ["(", ")", ",", "SELECT", "FROM t", "a", "1", "}", "} } } } } } } } }", "GROUP BY", "CASE"]
+    monkeypatch.setattr(S, "COPIES", 4)
+    folded = 0
+    for _ in range(30):
+        words = (r.choice(heads) + ", ".join([r.choice(units)] * r.randrange(9, 14)) + r.choice([" FROM t", ")", "", " FROM t WHERE a = 1"])).split()
+        for _ in range(r.choice((1, 1, 2))):
+            words.insert(r.randrange(len(words) + 1), r.choice(some))
+        s = S._file_tokens(" ".join(words), "ansi")[0]
+        t, least = S._least(g, s, start, 1)
+        cost, before, after, edits, whole = S._repair(s, "ansi", False)
+        assert cost == least == len(edits), words
+        assert (before, after) == tuple(least - S._open_cost(g, t, s, start, least, x) for x in (True, False)), words
+        assert list(edits) == sorted(edits, key=lambda e: (e[1], e[0])) and all(0 <= p <= len(s) for _, p in edits)
+        if cost == 1:  # an edit at the place told does it
+            (k, p), signs = edits[0], sorted(g.edits)
+            new = [s[:p] + s[p + 1 :]] if k == "-" else [s[:p] + c + s[p + (k == "~") :] for c in signs]
+            assert any(g.recognise(x, start) for x in new), words
+        folded += not whole
+    assert folded >= 10
+
+
+def test_bounds_change_nothing():
+    """The chart within a bound tells the same as without one."""
+    g = S.grammar(False)
+    for text in ("SELECT a b c FROM t", "SELECT (a FROM t WHERE", "a , b } FROM ( (", "SELECT a FROM t WHERE a IN (SELECT a FROM t WHERE a IN ("):
+        s, start = S._file_tokens(text, "ansi")[0], g.starts["ansi"]
+        full = g.table(s)
+        least = full[len(s)][0, start]
+        for most in range(1, least + 2):
+            t = g.table(s, most)
+            assert all((np.minimum(full[k][i], most + 1) == t[k][i]).all() for k in range(len(s) + 1) for i in range(len(s) - k + 1))
+        assert g.script(t, s, start) == g.script(full, s, start)

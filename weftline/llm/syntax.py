@@ -391,6 +391,25 @@ _CLASSES = {"NAME": "n", "LIT": "l", "EXPR": "e", "PRED": "p", "EQ": "q", "AEXPR
 BIG = 9_999
 
 
+class Spans:
+    """The costs of all spans of one length, by start and symbol. Symbols that
+    cost more than the bound in all of them are not kept."""
+
+    def __init__(self, costs: np.ndarray, big: int) -> None:
+        """costs: rows are symbols; big is what stands for more than the bound."""
+        kept = np.flatnonzero((costs < big).any(axis=1))
+        self.at = np.full(len(costs), -1)
+        self.at[kept] = np.arange(len(kept))
+        # the row of all others is the last one
+        self.costs = np.concatenate([costs[kept], np.full((1, costs.shape[1]), big, dtype=costs.dtype)])
+
+    def __getitem__(self, key):
+        """[i, a], or [i] for the costs of all symbols."""
+        if isinstance(key, tuple):
+            return int(self.costs[self.at[key[1]], key[0]])
+        return self.costs[self.at, key].astype(np.promote_types(self.costs.dtype, np.int16))
+
+
 class Grammar:
     """The grammar in binary rules with the cost of inserting each symbol."""
 
@@ -506,7 +525,8 @@ class Grammar:
         # chains of free steps count as one step
         direct = close.copy()
         direct[self.close == 0] = 0
-        self.step_to, self.step_cost, self.step_heads, self.step_at = _steps(direct)
+        self.step_to, self.step_cost, heads, begin = _steps(direct)
+        self.step_head = np.repeat(heads, np.diff(np.append(begin, len(self.step_to))))
         start, end = close.copy(), close.copy()
         for a, b, c in rules:
             start[a, c] = 0
@@ -521,8 +541,7 @@ class Grammar:
         self.whole = _rules([(a, b, c) for a, b, c in order if b not in tok and c not in tok])
         self.left = np.array([b for _, b, _ in order])
         self.right = np.array([c for _, _, c in order])
-        heads = np.array([a for a, _, _ in order])
-        self.heads, self.at = np.unique(heads, return_index=True)
+        self.rule_heads = np.array([a for a, _, _ in order])
         self.ids = np.array(sorted(self.edits.values()))
         self.by_head: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for a, b, c in order:
@@ -535,41 +554,54 @@ class Grammar:
             self.by_left[b].append((a, c))
         self.above = [[int(x) for x in np.flatnonzero(self.close[:, b] == 0)] for b in range(n)]
 
-    def table(self, s: str) -> list[np.ndarray]:
+    def table(self, s: str, most: int = BIG - 1) -> list[Spans]:
         """cost[len][i, A]: the least number of edits (a token inserted, removed
-        or replaced) that make s[i:i+len] a phrase of A."""
-        n = len(s)
-        base = np.full((n, self.n), BIG, dtype=np.int16)
-        base[:, self.ids] = 1
+        or replaced) that make s[i:i+len] a phrase of A. Costs of more than most
+        are told as more than most; symbols and rules that have only such are
+        passed over, which is what makes small bounds cheap."""
+        n, big = len(s), most + 1
+        kind = np.uint8 if big < 128 else np.int16 if big < 16_384 else np.int32  # sums of two fit in
+        base = np.full((self.n, n), big, dtype=kind)
+        base[self.ids] = 1
         for i, c in enumerate(s):
             if c in self.terminal:
-                base[i, self.terminal[c]] = 0
-        null = self.null.astype(np.int16)
+                base[self.terminal[c], i] = 0
+        null = np.where(self.null < BIG, np.minimum(self.null, big), big).astype(kind)
+        steps = np.minimum(self.step_cost, big).astype(kind)[:, None]
         # a token may also go away
-        cost = [np.tile(null, (n + 1, 1)), self._closed(np.minimum(base, np.minimum(null + 1, BIG)))]
+        now = self._closed(np.minimum(base, np.minimum(null + 1, big).astype(kind)[:, None]), steps, big)
+        cost = [Spans(np.tile(null[:, None], (1, n + 1)), big), Spans(now, big)]
         (lh, la, lt, lr), (rh, ra, rt, rl), (wh, wa, wl, wr) = self.on_left, self.on_right, self.whole
-        first, last = base[:, lt], base[:, rt]
-        lefts, rights = [None, cost[1][:, wl]], [None, cost[1][:, wr]]
+        first, last = base[lt], base[rt]
+        # rules whose left (right) symbol is within the bound, by length, also as
+        # bits of a number
+        lefts, rights = [None], [None]
+
+        def note(x: Spans) -> None:
+            for side, syms in ((lefts, wl), (rights, wr)):
+                on = x.at[syms] >= 0
+                side.append((on, int.from_bytes(np.packbits(on).tobytes(), "big")))
+
+        note(cost[1])
         for size in range(2, n + 1):
             m = n - size + 1
-            shorter = cost[size - 1]
-            here = np.minimum(shorter[:m], shorter[1 : m + 1]) + 1
-            for heads, at, x in ((lh, la, first[:m] + shorter[1 : m + 1][:, lr]), (rh, ra, last[size - 1 :] + shorter[:m][:, rl])):
-                here[:, heads] = np.minimum(here[:, heads], np.minimum.reduceat(x, at, axis=1))
-            best = lefts[1][:m] + rights[size - 1][1 : m + 1]
-            tmp = np.empty_like(best)
-            for k in range(2, size):
-                np.add(lefts[k][:m], rights[size - k][k : k + m], out=tmp)
-                np.minimum(best, tmp, out=best)
-            here[:, wh] = np.minimum(here[:, wh], np.minimum.reduceat(best, wa, axis=1))
-            np.minimum(here, BIG, out=here)
-            here = self._closed(here)
-            cost.append(here)
-            lefts.append(here[:, wl])
-            rights.append(here[:, wr])
+            here = np.minimum(np.minimum(now[:, :m], now[:, 1 : m + 1]) + kind(1), big)
+            for heads, at, x in ((lh, la, first[:, :m] + now[lr, 1 : m + 1]), (rh, ra, last[:, size - 1 :] + now[rl, :m])):
+                here[heads] = np.minimum(here[heads], np.minimum.reduceat(x, at, axis=0))
+            best = np.full((len(wl), m), big, dtype=kind)
+            for k in range(1, size):
+                (on, bits), (on2, bits2) = lefts[k], rights[size - k]
+                if bits & bits2:
+                    r = np.flatnonzero(on & on2)
+                    x, y = cost[k], cost[size - k]
+                    best[r] = np.minimum(best[r], x.costs[x.at[wl[r]], :m] + y.costs[y.at[wr[r]], k : k + m])
+            here[wh] = np.minimum(here[wh], np.minimum.reduceat(best, wa, axis=0))
+            now = self._closed(np.minimum(here, kind(big)), steps, big)
+            cost.append(Spans(now, big))
+            note(cost[-1])
         return cost
 
-    def script(self, t: list[np.ndarray], s: str, start: int) -> list[tuple[str, int]]:
+    def script(self, t: list[Spans], s: str, start: int) -> list[tuple[str, int]]:
         """The edits of one cheapest repair, in the order of the text: ('+',
         place) for a token missing before the token at that place, ('-', place)
         for one too many, ('~', place) for a wrong one. Of equally cheap repairs
@@ -582,14 +614,14 @@ class Grammar:
             if not size:
                 out += [("+", i)] * c
                 continue
-            if not c and size == 1 and self.terminal.get(s[i]) == a:
+            if not c:  # no edit is in it
                 continue
             nxt = self._how(t, s, a, i, size, c, past | {a})
             out += nxt[0]
             todo += nxt[1]
         return sorted(out, key=lambda e: (e[1], e[0]))
 
-    def _how(self, t: list[np.ndarray], s: str, a: int, i: int, size: int, c: int, past: frozenset) -> tuple[list, list]:
+    def _how(self, t: list[Spans], s: str, a: int, i: int, size: int, c: int, past: frozenset) -> tuple[list, list]:
         """One way in which cost c of phrase a over s[i:i+size] comes about: its
         edits, and the phrases it leads to."""
         if size == 1 and a in self.ids and c == 1:
@@ -608,25 +640,28 @@ class Grammar:
             return [("-", i)], [(a, i + 1, size - 1, frozenset())]
         raise AssertionError("no way to a cost of the table")
 
-    def _closed(self, c: np.ndarray) -> np.ndarray:
-        """c after all unary steps, over the direct ones until nothing falls;
-        spans that no longer change are left alone. Symbols lie in rows here, so
-        that whole rows are gathered."""
-        t = np.ascontiguousarray(c.T)
-        at, cost = np.arange(t.shape[1]), self.step_cost[:, None]
-        part = t
-        while True:
-            low = np.minimum.reduceat(part[self.step_to] + cost, self.step_at, axis=0)
-            old = part[self.step_heads]
-            low = np.minimum(low, old)
-            on = np.flatnonzero((low < old).any(axis=0))
+    def _closed(self, t: np.ndarray, steps: np.ndarray, big: int) -> np.ndarray:
+        """t, whose rows are symbols, after all unary steps, over the direct ones
+        until nothing falls; spans that no longer change are left alone, and so
+        are steps to symbols beyond the bound."""
+        part = t[:, t.min(axis=0) < big]
+        at = np.flatnonzero(t.min(axis=0) < big)
+        while len(at):
+            on = np.flatnonzero((part < big).any(axis=1)[self.step_to])
             if not len(on):
                 break
-            part = part[:, on]
-            part[self.step_heads] = low[:, on]
-            at = at[on]
+            heads, begin = np.unique(self.step_head[on], return_index=True)
+            low = np.minimum.reduceat(part[self.step_to[on]] + steps[on], begin, axis=0)
+            old = part[heads]
+            low = np.minimum(low, old)
+            fell = np.flatnonzero((low < old).any(axis=0))
+            if not len(fell):
+                break
+            part = part[:, fell]
+            part[heads] = low[:, fell]
+            at = at[fell]
             t[:, at] = part
-        return np.ascontiguousarray(t.T)
+        return t
 
     def recognise(self, s: str, start: int) -> bool:
         """Whether s is a phrase of start without any edit: the zero-cost items of the
@@ -699,18 +734,167 @@ def valid(s: str, dialect: str) -> bool:
     return not s or _valid(s, grammar().starts[dialect])
 
 
-#: Tokens of one statement up to which its chart is made over single tokens: it
-#: takes their square in memory (240 MB at 600), their cube in time.
-MOST_TOKENS = 600
+#: By how much the bound on the cost of a repair grows until the least cost is
+#: within it, and the greatest one whose sums fit into a byte.
+GROWTH, BYTE = 4, 126
+#: Copies of a repeated list element that are kept at first; they double until
+#: the cost shows that they are enough.
+COPIES = 32
+#: Elements, one after the other, that may repeat together.
+TOGETHER = 8
+#: What begins a list that has no brackets of its own.
+_LIST_HEADS = frozenset(K[w] for w in "with select from group order partition values set returning grant limit".split())
+
+
+def _least(g: Grammar, s: str, start: int, most: int) -> tuple[list[Spans], int]:
+    """The chart of s and its least cost, with a bound of most at first. Bounds
+    change nothing but the work."""
+    most = max(1, most, sum(c not in g.terminal for c in s))  # each of them is an edit
+    while True:
+        most = BYTE if BYTE // GROWTH < most < BYTE else most
+        t = g.table(s, most)
+        least = t[len(s)][0, start]
+        if least <= most:
+            return t, least
+        most *= GROWTH
+
+
+def _guess(shape: str, dialect: str, size: int) -> int:
+    """About what a repair of so many tokens with this shape costs."""
+    if 2 * len(shape) > size:
+        return len(shape) // 8
+    g = grammar()
+    return _least(g, _fold(shape, COPIES, g.terminal)[0], g.starts[dialect], 1)[1]
+
+
+def _elements(s: str) -> list[list[tuple[int, int]]]:
+    """Places of the elements of each list of s with the comma after them, for
+    every depth of brackets; the last element of a list, without a comma, is
+    left out, and so is what no list can be told from."""
+    out: list[list[tuple[int, int]]] = []
+    stack: list[tuple[int, list[tuple[int, int]]]] = []
+    begin, seen = 0, []
+    for i, c in enumerate(s):
+        if c in "([":
+            stack.append((begin, seen))
+            begin, seen = i + 1, []
+        elif c in ")]":
+            out.append(seen)
+            # of a bracket that nothing opens, what is before it is told apart
+            begin, seen = stack.pop() if stack else (i + 1, [])
+        elif c == ",":
+            seen.append((begin, i + 1))
+            begin = i + 1
+        elif c in _LIST_HEADS:
+            out.append(seen)
+            begin, seen = i + 1, []
+    return [x for x in [*out, *(f[1] for f in stack), seen] if len(x) > COPIES]
+
+
+def _balanced(s: str) -> bool:
+    open_: list[str] = []
+    for c in s:
+        if c in "([":
+            open_.append(c)
+        elif c in ")]" and (not open_ or open_.pop() + c not in ("()", "[]")):
+            return False
+    return not open_
+
+
+def _repeats(s: str, signs: dict[str, int]) -> list[tuple[int, int, int, bool]]:
+    """(start, length, copies, odd) of what stands in s many times over: elements
+    of a list, or (odd) signs that no token of the dialect can be."""
+    out = [(m.start(), 1, len(m[0]), True) for m in re.finditer(r"([?mu])\1+", s)]
+    for seen in _elements(s):
+        text = [s[a:b] for a, b in seen]
+        i = 0
+        while i < len(text):
+            for p in range(1, TOGETHER + 1):
+                j = i
+                while j + p < len(text) and text[j] == text[j + p]:
+                    j += 1
+                copies = (j - i) // p + 1
+                unit = "".join(text[i : i + p]) if copies > COPIES else ""
+                if unit and _balanced(unit) and all(c in signs for c in unit):
+                    out.append((seen[i][0], len(unit), copies, False))
+                    i += copies * p - 1
+                    break
+            i += 1
+    return out
+
+
+#: What a round of folding took out: (start in the shorter text, length, copies
+#: taken, odd).
+Taken = list[tuple[int, int, int, bool]]
+
+
+def _fold(s: str, copies: int, signs: dict[str, int]) -> tuple[str, list[Taken]]:
+    """s with at most so many copies of what repeats, and what each round
+    took out. Inner lists come first."""
+    rounds = []
+    while True:
+        parts: list[str] = []
+        taken: Taken = []
+        at = gone = 0
+        for a, size, have, odd in sorted(_repeats(s, signs), key=lambda x: (x[0] + x[1] * x[2], -x[0])):
+            if have > copies and a >= at:
+                parts.append(s[at : a + size * copies])
+                at = a + size * have
+                taken.append((a - gone, size, have - copies, odd))
+                gone += size * (have - copies)
+        if not taken:
+            return s, rounds
+        s = "".join(parts) + s[at:]
+        rounds.append(taken)
+
+
+def _unfold(edits: tuple[tuple[str, int], ...], rounds: list[Taken], copies: int) -> tuple[tuple[str, int], ...]:
+    """Edits of the folded text as those of the whole one: list elements go back
+    in after two copies that no edit touches; odd signs go."""
+    for taken in reversed(rounds):
+        places = {p for _, p in edits}
+        moves: list[tuple[int, int]] = []  # places from which edits move, and by how much
+        more: list[tuple[str, int]] = []
+        gone = 0
+        for a, size, less, odd in taken:
+            if odd:
+                free = copies
+                more += [("-", a + copies + gone + x) for x in range(less)]
+            else:  # from the comma before a copy to its own
+                free = next(c for c in range(2, copies + 1) if places.isdisjoint(range(a + size * (c - 1) - 1, a + size * c)))
+            moves.append((a + size * free, size * less))
+            gone += size * less
+        edits = tuple(sorted([(k, p + sum(by for x, by in moves if p >= x)) for k, p in edits] + more, key=lambda e: (e[1], e[0])))
+    return edits
 
 
 @lru_cache(maxsize=100_000)
-def _repair(s: str, dialect: str, phrases: bool) -> tuple[int, int, int, tuple[tuple[str, int], ...]]:
+def _repair(s: str, dialect: str, phrases: bool, guess: int = 1) -> tuple[int, int, int, tuple[tuple[str, int], ...], bool]:
+    """Least cost, shares, edits, and whether the chart was made of s as it is.
+
+    What stands in s many times over is charted with fewer copies. This leaves
+    the least cost as it is:
+
+    * Commas at one depth of brackets with no keyword between them that begins a
+      list are of one list, as no list begins otherwise. So `, w ,` in a valid
+      text, w without other commas at its depth, has a whole element between the
+      commas, and the text stays valid with one w more or less there. Each edit
+      touches at most two pairs of neighbouring copies; of 2 * cost + 2 copies
+      some pair is left as it is, so one copy more or less costs the same.
+    * A sign that no token can be costs one edit at least. Where a repair of
+      fewer of them costs just that, so does one of all that removes the rest."""
     g = grammar(phrases)
-    start = g.starts[dialect]
-    t = g.table(s)
-    least = int(t[len(s)][0, start])
-    return least, least - _open_cost(g, t, s, start, True), least - _open_cost(g, t, s, start, False), tuple(g.script(t, s, start))
+    signs, start, copies = g.terminal, g.starts[dialect], COPIES
+    while True:
+        short, rounds = _fold(s, copies, signs)
+        t, least = _least(g, short, start, guess)
+        taken = [x for t in rounds for x in t]
+        lists, odd = any(not x[3] for x in taken), any(x[3] for x in taken)
+        if (not lists or copies >= 2 * least + 2) and (not odd or least == sum(c not in signs for c in short)):
+            before, after = (least - _open_cost(g, t, short, start, least, x) for x in (True, False))
+            edits = _unfold(tuple(g.script(t, short, start)), rounds, copies)
+            return least + sum(x[2] for x in taken if x[3]), before, after, edits, not rounds
+        copies = max(2 * copies, 2 * least + 2 if lists else 0)
 
 
 def repair(shape: str, dialect: str, tokens: str | None = None) -> tuple[int, int, int, tuple[tuple[str, int], ...], bool]:
@@ -718,46 +902,59 @@ def repair(shape: str, dialect: str, tokens: str | None = None) -> tuple[int, in
     statement, given its shape and its single tokens: the least number of tokens
     to insert, remove or replace that makes it a statement, by how much that
     falls when tokens missing before the first (after the last) are free, and
-    the edits of one cheapest repair with their places.
+    the edits of one cheapest repair with their places. This is so at every
+    length.
 
-    A statement of more than MOST_TOKENS tokens is repaired on its shape, where
-    a complete phrase counts as one token; a shape of more than MOST_TOKENS in
-    pieces, each made a statement of its own. Then exact is false, places are
-    those in the shape, and the cost counts edits to phrases."""
+    exact is false where copies of a repeated list element were left out of the
+    chart (see _repair()): the cost is the least there too, but of equally cheap
+    repairs another may be told than by a chart of all tokens. Without single
+    tokens the shape is repaired, and exact is false."""
     if valid(shape, dialect):
         return 0, 0, 0, (), True
-    if tokens and len(tokens) <= MOST_TOKENS:
-        least, before, after, edits = _repair(tokens, dialect, False)
-        return max(1, least), before, after, edits, True
-    parts = [shape[i : i + MOST_TOKENS] for i in range(0, len(shape), MOST_TOKENS)]
-    got = [_repair(x, dialect, True) for x in parts]
-    edits = tuple((k, i * MOST_TOKENS + p) for i, g in enumerate(got) for k, p in g[3])
-    return max(1, sum(g[0] for g in got) + len(got) - 1), got[0][1], got[-1][2], edits, False
+    if not tokens:
+        least, before, after, edits, _ = _repair(shape, dialect, True)
+        return max(1, least), before, after, edits, False
+    least, before, after, edits, whole = _repair(tokens, dialect, False, _guess(shape, dialect, len(tokens)))
+    return max(1, least), before, after, edits, whole
 
 
-def _open_cost(g: Grammar, t: list[np.ndarray], s: str, start: int, at_start: bool) -> int:
+def _open_cost(g: Grammar, t: list[Spans], s: str, start: int, most: int, at_start: bool) -> int:
     """Least cost when the tokens that s lacks at its start (or end) are free:
-    the spans that touch that side again, with free insertion there."""
+    the spans that touch that side again, with free insertion there. It is at
+    most the least cost of s, so what costs more is left out."""
     n = len(s)
     to, cost, heads, at = g.steps_start if at_start else g.steps_end
-    edge = np.zeros((n + 1, g.n), dtype=np.int16)
+    near, far = (g.left, g.right) if at_start else (g.right, g.left)
+    # by length at that side: costs of the rules' symbols there, and which of
+    # them are cheap enough
+    kind = t[n][0].dtype
+    side = np.empty((n, len(near)), dtype=kind)
+    lengths, rules = [], []
+    pairs = 0
+    edge = np.zeros(g.n, dtype=kind)
     for size in range(1, n + 1):
-        i = 0 if at_start else n - size
-        cur = t[size][i].copy()
+        cur = t[size][0 if at_start else n - size]
         if size > 1:
-            if at_start:
-                c = edge[1:size][:, g.left] + np.stack([t[size - k][k] for k in range(1, size)])[:, g.right]
+            side[size - 2] = edge[near]
+            on = np.flatnonzero(side[size - 2] <= most)
+            lengths.append(np.full(len(on), size - 2))
+            rules.append(on)
+            pairs += len(on)
+            rest = np.stack([t[size - x][x if at_start else n - size] for x in range(1, size)])
+            if pairs * 8 < (size - 1) * len(near):
+                k, r = np.concatenate(lengths), np.concatenate(rules)
+                np.minimum.at(cur, g.rule_heads[r], side[k, r] + rest[k, far[r]])
             else:
-                c = np.stack([t[k][i] for k in range(1, size)])[:, g.left] + edge[size - 1 : 0 : -1][:, g.right]
-            cur[g.heads] = np.minimum(cur[g.heads], np.minimum.reduceat(c.min(axis=0), g.at))
-            cur = np.minimum(cur, edge[size - 1] + 1)
+                c = (side[: size - 1] + rest[:, far]).min(axis=0)
+                np.minimum.at(cur, g.rule_heads, c)
+            cur = np.minimum(cur, edge + 1)
         while True:
             low = np.minimum(np.minimum.reduceat(cur[to] + cost, at), cur[heads])
             if (low == cur[heads]).all():
                 break
             cur[heads] = low
-        edge[size] = cur
-    return int(edge[n][start])
+        edge = cur
+    return int(edge[start])
 
 
 def _statements(got: str) -> list[list[str]]:
